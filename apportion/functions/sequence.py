@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,8 +11,8 @@ NUCS = "ACGT"
 
 
 def clean(seq: Column) -> Column:
-    """Upper-case alphabet ACGT; every other symbol counts as A."""
-    return F.regexp_replace(F.upper(seq), "(?s)[^CGT]", "A")
+    """Upper-case alphabet ACGT; every other symbol counts as A, one for one."""
+    return F.regexp_replace(F.translate(seq, "cgt", "CGT"), "[^CGT]", "A")
 
 
 def digits(seq: Column) -> Column:
@@ -26,20 +28,25 @@ def reverse_complement(seq: Column) -> Column:
     return F.reverse(F.translate(clean(seq), NUCS, "TGCA"))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value evaluated once, however often body and its lambdas use it."""
+    return F.transform(F.array(value), body).getItem(0)
+
+
 def kmer_codes(seq: Column, k: int) -> Column:
     """Base-4 value of every length-k window, in order of position."""
-    arr = codes(seq)
-
-    def window(i: Column) -> Column:
-        value = F.lit(0)
-        for j in range(k):
-            value = value * 4 + F.get(arr, i + j)
-        return value
-
-    n = F.length(clean(seq))
-    return F.when(n >= k, F.transform(F.sequence(F.lit(0), n - k), window)).otherwise(
-        F.array().cast("array<int>")
-    )
+
+    def windows(arr: Column) -> Column:
+        def value(i: Column) -> Column:
+            out = F.lit(0)
+            for j in range(k):
+                out = out * 4 + F.get(arr, i + j)
+            return out
+
+        full = F.transform(F.sequence(F.lit(0), F.size(arr) - k), value)
+        return F.when(F.size(arr) >= k, full).otherwise(F.array().cast("array<int>"))
+
+    return let(codes(seq), windows)
 
 
 def two_bit_hex(seq: Column) -> Column:

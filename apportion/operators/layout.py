@@ -65,11 +65,13 @@ def build_layout(
     carry: dict[str, tuple[str, str]] | None = None,
     limit: int | None = None,
     need_counts: bool = True,
+    partition_by: tuple[str, Column] | None = None,
 ) -> HitLayout:
     """Store hits (frag_id, target_id, w or log_w, ...) for iteration.
 
     Placements of a fragment on the same target collapse to one row with summed weight.
-    carry names extra columns as {name: (aggregate, source)}.
+    carry names extra columns as {name: (aggregate, source)}; partition_by = (name, column
+    over carried values) splits the table for scans of one value at a time.
     """
     spark = hits.sparkSession
     limit = limit or group_limit(spark)
@@ -110,7 +112,9 @@ def build_layout(
         rows, {"n_targets": ("sum", F.lit(1)), "_first": ("min", F.col("target_id"))}
     )
     rows = rows.withColumn("lead", F.col("target_id") == F.col("_first")).drop("_first")
-    stored = bucketed(rows, keys, "hits")
+    if partition_by:
+        rows = rows.withColumn(*partition_by)
+    stored = bucketed(rows, keys, "hits", partition_by[0] if partition_by else None)
 
     n_targets, n_frags, tops = 0, 0, None
     if need_counts:

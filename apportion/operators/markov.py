@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from apportion.config import BIAS_WINDOW, EPSILON
+from apportion.functions.sequence import let
 
 
 def window_cells(digits: Column, start: Column, left: Column, order: int, width: int = BIAS_WINDOW) -> Column:
@@ -22,10 +23,10 @@ def window_cells(digits: Column, start: Column, left: Column, order: int, width:
     edge = (left < order) & (left != 0)
     first = F.when(edge, F.lit(order) - left).otherwise(F.lit(0))
     last = F.least(F.lit(width - 1), start + F.length(digits) - left - 1)
-    base = lambda k: F.substring(digits, k + 1, 1).cast("int")
 
-    def cell(i: Column) -> Column:
+    def cell(i: Column, text: Column) -> Column:
         at = left + i - start
+        base = lambda k: F.substring(text, k + 1, 1).cast("int")
         have = F.when(edge, F.lit(order)).otherwise(F.least(F.lit(order), i))
         cond = F.lit(0)
         for k in range(order, 0, -1):
@@ -33,7 +34,9 @@ def window_cells(digits: Column, start: Column, left: Column, order: int, width:
         return F.struct(i.alias("pos"), cond.alias("cond"), base(at).alias("nuc"))
 
     empty = F.array().cast("array<struct<pos:int,cond:int,nuc:int>>")
-    return F.when(first <= last, F.transform(F.sequence(first, last), cell)).otherwise(empty)
+    return F.when(
+        first <= last, let(digits, lambda text: F.transform(F.sequence(first, last), lambda i: cell(i, text)))
+    ).otherwise(empty)
 
 
 def window_counts(

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from apportion.functions.sequence import let
 from apportion.operators.skew import lookup_join
 
 # Fixed prior of the indel length distribution: P(0) = 0.99, each further base times 0.01.
@@ -19,34 +20,37 @@ def base_events(df: DataFrame, ids: list[str], read: Column, ref: Column, blocks
     strings are compared position by position over their common length. prev is the base
     before pos in the read, 0 at the start.
     """
-    rows = df.select(*ids, F.split(read, "").alias("_read"), F.split(ref, "").alias("_ref"),
-                     (F.lit(None) if blocks is None else blocks).alias("_blocks"))
-    if blocks is None:
-        n = F.least(F.size("_read"), F.size("_ref"))
-        cells = F.when(
-            n > 0,
-            F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(i.alias("pos"), i.alias("at"))),
-        )
-    else:
-        cells = F.flatten(
+
+    def cells(r: Column, t: Column) -> Column:
+        if blocks is None:
+            n = F.least(F.size(r), F.size(t))
+            return F.when(
+                n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(i.alias("pos"), i.alias("at")))
+            )
+        return F.flatten(
             F.transform(
-                F.filter("_blocks", lambda b: b["len"] > 0),
+                F.filter(blocks, lambda b: b["len"] > 0),
                 lambda b: F.transform(
                     F.sequence(F.lit(0), b["len"] - 1),
                     lambda i: F.struct((b["r"] + i).alias("pos"), (b["t"] + i).alias("at")),
                 ),
             )
         )
-    full = F.transform(
-        cells,
-        lambda c: F.struct(
-            c["pos"].alias("pos"),
-            F.when(c["pos"] > 0, F.get("_read", c["pos"] - 1)).otherwise("0").cast("int").alias("prev"),
-            F.get("_ref", c["at"]).cast("int").alias("ref"),
-            F.get("_read", c["pos"]).cast("int").alias("cur"),
-        ),
-    )
-    return rows.select(*ids, F.inline(full)).filter("ref is not null and cur is not null")
+
+    def compared(both: Column) -> Column:
+        r, t = both["r"], both["t"]
+        return F.transform(
+            cells(r, t),
+            lambda c: F.struct(
+                c["pos"].alias("pos"),
+                F.when(c["pos"] > 0, F.get(r, c["pos"] - 1)).otherwise("0").cast("int").alias("prev"),
+                F.get(t, c["at"]).cast("int").alias("ref"),
+                F.get(r, c["pos"]).cast("int").alias("cur"),
+            ),
+        )
+
+    both = F.struct(F.split(read, "").alias("r"), F.split(ref, "").alias("t"))
+    return df.select(*ids, F.inline(let(both, compared))).filter("ref is not null and cur is not null")
 
 
 def mismatch_counts(events: DataFrame, keys: list[str], mass: Column) -> DataFrame:

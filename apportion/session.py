@@ -60,16 +60,13 @@ def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def bucketed(df: DataFrame, keys: list[str], label: str) -> DataFrame:
+def bucketed(df: DataFrame, keys: list[str], label: str, partition_by: str | None = None) -> DataFrame:
     """Store df as a bucketed table in the shared folder, so that later windows,
-    aggregates and joins on keys need no exchange."""
+    aggregates and joins on keys need no exchange (and scans of one partition value read
+    only that partition)."""
     spark = df.sparkSession
     width = shuffle_width(spark)
     name = f"apportion_{label}_{uuid.uuid4().hex[:12]}"
-    (
-        df.write.bucketBy(width, *keys)
-        .sortBy(*keys)
-        .option("path", f"{checkpoint_dir(spark)}/{name}")
-        .saveAsTable(name)
-    )
+    writer = df.write.bucketBy(width, *keys).sortBy(*keys).option("path", f"{checkpoint_dir(spark)}/{name}")
+    (writer.partitionBy(partition_by) if partition_by else writer).saveAsTable(name)
     return spark.table(name)

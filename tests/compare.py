@@ -53,7 +53,7 @@ def difference(a, b):
     if len(a[1]) != len(b[1]):
         return f"rows {len(a[1])} vs {len(b[1])}; first {a[1][:2]} vs {b[1][:2]}"
     bad = [(x, y) for x, y in zip(a[1], b[1], strict=True) if x != y]
-    return f"{len(bad)} of {len(a[1])} rows differ, e.g. {bad[0]}" if bad else None
+    return f"{len(bad)} of {len(a[1])} rows differ, e.g. {str(bad[0])[:300]}" if bad else None
 
 
 if __name__ == "__main__":
@@ -81,4 +81,4 @@ if __name__ == "__main__":
             diff = difference(got, duck_rows(con, oracle[name]))
             print(f"{'OK  ' if diff is None else 'DIFF'} {name} {len(got[1])} {took:.1f}s sql {time.time() - t:.1f}s {diff or ''}", flush=True)
         except Exception as e:  # noqa: BLE001
-            print(f"FAIL {name} {type(e).__name__} {str(e)[:600]}", flush=True)
+            print(f"FAIL {name} {type(e).__name__} {str(e)[:300]}", flush=True)

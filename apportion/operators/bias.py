@@ -11,6 +11,7 @@ from apportion.config import BIAS_SURROUND, BIAS_WINDOW, EPSILON
 from apportion.functions.sequence import digits, reverse_complement
 from apportion.operators.markov import (
     background_counts,
+    batch_window_scores,
     dense_log_table,
     encode,
     log_window_scores,
@@ -21,31 +22,57 @@ from apportion.operators.markov import (
 from apportion.operators.windows import sequence_slice
 
 
-def observed_counts(placements: DataFrame, targets: DataFrame, mass: Column, order: int, span: int) -> DataFrame:
-    """(end, pos, cond, nuc, mass) around fragment ends: 5' on the forward strand at
-    left, 3' on the reverse strand at length - right."""
+def end_windows(placements: DataFrame, targets: DataFrame, order: int, carry: list[str]) -> DataFrame:
+    """(carry, end, dig, start, wl): bases around each fragment end, in strand direction.
+
+    5' looks at the forward strand at left, 3' at the reverse strand at length - right.
+    dig holds base-4 digits from strand offset start; wl is the window's first offset.
+    """
     reach = BIAS_WINDOW + order
-    rows = placements.withColumn("_mass", mass)
-    five = rows.filter("pair_status <> 'RIGHT_ONLY'").select(
-        "target_id", "_mass", F.lit("5").alias("end"), F.col("left").cast("int").alias("at"), F.lit(False).alias("rc")
+    five = placements.filter("pair_status <> 'RIGHT_ONLY'").select(
+        "target_id", *carry, F.lit("5").alias("end"), F.col("left").cast("bigint").alias("at"), F.lit(False).alias("rc")
     )
-    three = rows.filter("pair_status <> 'LEFT_ONLY'").select(
-        "target_id", "_mass", F.lit("3").alias("end"), (F.col("right") - 1).cast("int").alias("at"), F.lit(True).alias("rc")
+    three = placements.filter("pair_status <> 'LEFT_ONLY'").select(
+        "target_id", *carry, F.lit("3").alias("end"), (F.col("right") - 1).cast("bigint").alias("at"), F.lit(True).alias("rc")
     )
-    ends = five.unionByName(three)
     lo = F.greatest(F.col("at") - reach, F.lit(0))
-    cut_out = sequence_slice(ends, targets, lo, F.col("at") + reach + 1, 2 * reach + 1)
-    forward_left = F.col("at") - BIAS_SURROUND
-    strand_pos = F.col("length") - 1 - F.col("at")
+    rows = sequence_slice(five.unionByName(three), targets, lo, F.col("at") + reach + 1, 2 * reach + 1)
+    rc, length = F.col("rc"), F.col("length")
     slice_end = F.col("slice_from") + F.length("slice")
-    oriented = cut_out.select(
+    return rows.select(
+        *carry,
         "end",
-        "_mass",
-        F.when(F.col("rc"), digits(reverse_complement(F.col("slice")))).otherwise(digits(F.col("slice"))).alias("dig"),
-        F.when(F.col("rc"), F.col("length") - slice_end).otherwise(F.col("slice_from")).cast("int").alias("start"),
-        F.when(F.col("rc"), strand_pos - BIAS_SURROUND).otherwise(forward_left).cast("int").alias("wl"),
+        digits(F.when(rc, reverse_complement(F.col("slice"))).otherwise(F.col("slice"))).alias("dig"),
+        F.when(rc, length - slice_end).otherwise(F.col("slice_from")).cast("int").alias("start"),
+        (F.when(rc, length - 1 - F.col("at")).otherwise(F.col("at")) - BIAS_SURROUND).cast("int").alias("wl"),
     )
-    return window_counts(oriented, F.col("dig"), F.col("start"), F.col("wl"), F.col("_mass"), order, ["end"])
+
+
+def observed_counts(placements: DataFrame, targets: DataFrame, mass: Column, order: int) -> DataFrame:
+    """(end, pos, cond, nuc, mass) around fragment ends."""
+    rows = end_windows(placements.withColumn("_mass", mass), targets, order, ["_mass"])
+    return window_counts(rows, F.col("dig"), F.col("start"), F.col("wl"), F.col("_mass"), order, ["end"])
+
+
+def end_scores(placements: DataFrame, targets: DataFrame, tables: dict, order: int, ids: list[str]) -> DataFrame:
+    """(ids, log_bias): summed log weight of the ends of each placement.
+
+    Whole Arrow batches are scored at once with the fixed-size tables.
+    """
+    @F.pandas_udf("double")
+    def score(end: pd.Series, dig: pd.Series, start: pd.Series, wl: pd.Series) -> pd.Series:
+        out = np.zeros(len(dig))
+        for e, (obs, exp) in tables.items():
+            pick = np.flatnonzero((end == e).to_numpy())
+            if pick.size:
+                texts = dig.iloc[pick].tolist()
+                at, left = start.iloc[pick].to_numpy(), wl.iloc[pick].to_numpy()
+                out[pick] = batch_window_scores(texts, at, left, obs, order) - batch_window_scores(texts, at, left, exp, order)
+        return pd.Series(out)
+
+    rows = end_windows(placements, targets, order, ids)
+    scored = rows.select(*ids, score("end", "dig", "start", "wl").alias("_s"))
+    return scored.groupBy(*ids).agg(F.sum("_s").alias("log_bias"))
 
 
 def expected_counts(
@@ -97,26 +124,3 @@ def target_bias(targets: DataFrame, tables: dict, order: int) -> DataFrame:
         return pd.DataFrame(rows, columns=["start_bias", "end_bias", "avg_bias"])
 
     return targets.withColumn("_b", score("seq")).select("*", "_b.*").drop("_b")
-
-
-def end_weights(placements: DataFrame, biased: DataFrame, layout_rows: int) -> DataFrame:
-    """Add bias_w = start bias at left times end bias at right - 1 for the ends present.
-
-    Bias vectors are split into blocks of positions, so a placement meets only the block
-    it needs instead of its target's whole vector.
-    """
-    from apportion.operators.skew import lookup_join
-
-    blocks = biased.select(
-        "target_id", F.posexplode(F.arrays_zip("start_bias", "end_bias")).alias("at", "b")
-    ).select("target_id", F.col("at").cast("bigint").alias("at"), "b.start_bias", "b.end_bias")
-    n = blocks.count()
-    start = blocks.select("target_id", F.col("at").alias("_s"), "start_bias")
-    end = blocks.select("target_id", F.col("at").alias("_e"), "end_bias")
-    rows = placements.withColumn("_s", F.col("left").cast("bigint")).withColumn("_e", (F.col("right") - 1).cast("bigint"))
-    rows = lookup_join(rows, start, ["target_id", "_s"], n, ["frag_id"], how="left", row_bytes=32)
-    rows = lookup_join(rows, end, ["target_id", "_e"], n, ["frag_id"], how="left", row_bytes=32)
-    total = F.when(F.col("pair_status") == "RIGHT_ONLY", 0.0).otherwise(F.col("start_bias")) + F.when(
-        F.col("pair_status") == "LEFT_ONLY", 0.0
-    ).otherwise(F.col("end_bias"))
-    return rows.withColumn("log_bias", total).drop("_s", "_e", "start_bias", "end_bias")

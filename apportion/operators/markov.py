@@ -110,7 +110,7 @@ def marginals(counts: DataFrame, order: int) -> DataFrame:
     """(pos, cond, nuc, mass) for contexts of 0..order bases, rolled down from full ones."""
     levels = F.explode(F.sequence(F.lit(0), F.lit(order)))
     rows = counts.select("*", levels.alias("pos"))
-    masked = F.col("cond").cast("bigint").bitwiseAND(F.shiftleft(F.lit(1).cast("bigint"), 2 * F.col("pos")) - 1)
+    masked = F.col("cond").cast("bigint").bitwiseAND(F.pow(F.lit(4.0), F.col("pos")).cast("bigint") - 1)
     rows = rows.withColumn("cond", masked)
     return rows.groupBy("pos", "cond", "nuc").agg(F.sum("mass").alias("mass"))
 
@@ -176,3 +176,26 @@ def log_window_scores(codes: np.ndarray, table: np.ndarray, order: int, surround
             cond = cond * 4 + np.where(use, padded[jj - k + order], 0)
         out[ok] += table[min(i, table.shape[0] - 1), cond, codes[jj]]
     return out
+
+
+def batch_window_scores(
+    texts: list[str], start: np.ndarray, left: np.ndarray, table: np.ndarray, order: int, width: int = BIAS_WINDOW
+) -> np.ndarray:
+    """Log probability of one window per digit string; start and left as in window_cells."""
+    longest = max(map(len, texts))
+    grid = np.full((len(texts), longest + order), -1, dtype=np.int64)
+    for r, t in enumerate(texts):
+        grid[r, order : order + len(t)] = np.frombuffer(t.encode(), dtype=np.uint8) - ord("0")
+    rows = np.arange(len(texts))
+    edge = (left < order) & (left != 0)
+    first = np.where(edge, order - left, 0)
+    out = first * math.log(0.25)
+    for i in range(width):
+        at = left + i - start
+        safe = np.clip(at, 0, longest - 1) + order
+        ok = (i >= first) & (at >= 0) & (at < longest) & (grid[rows, safe] >= 0)
+        cond = np.zeros(len(texts), dtype=np.int64)
+        for k in range(order, 0, -1):
+            cond = cond * 4 + np.where(edge | (i >= k), np.maximum(grid[rows, safe - k], 0), 0)
+        out = out + np.where(ok, table[min(i, table.shape[0] - 1), cond, np.maximum(grid[rows, safe], 0)], 0.0)
+    return out

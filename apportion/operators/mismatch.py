@@ -13,12 +13,12 @@ NO_INDEL = 0.99
 
 
 def base_events(df: DataFrame, ids: list[str], read: Column, ref: Column, blocks: Column | None = None) -> DataFrame:
-    """(ids, pos, prev, ref, cur): one row per aligned base.
+    """(ids, pos, prev, ref, cur, at, prev_ref): one row per aligned base.
 
     read and ref are base-4 digit strings in reading direction, ref starting at the
     placement. blocks (array of r, t, len) lists the gap-free runs; without it the two
     strings are compared position by position over their common length. prev is the base
-    before pos in the read, 0 at the start.
+    before pos in the read, 0 at the start; at and prev_ref are the same for the target.
     """
 
     def cells(r: Column, t: Column) -> Column:
@@ -46,6 +46,8 @@ def base_events(df: DataFrame, ids: list[str], read: Column, ref: Column, blocks
                 F.when(c["pos"] > 0, F.get(r, c["pos"] - 1)).otherwise("0").cast("int").alias("prev"),
                 F.get(t, c["at"]).cast("int").alias("ref"),
                 F.get(r, c["pos"]).cast("int").alias("cur"),
+                c["at"].alias("at"),
+                F.when((c["pos"] > 0) & (c["at"] > 0), F.get(t, c["at"] - 1)).otherwise("0").cast("int").alias("prev_ref"),
             ),
         )
 

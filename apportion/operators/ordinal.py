@@ -72,12 +72,17 @@ def snapshot_points(df: DataFrame, ordinal: str = "n", first_power: int = 6) ->
     return df.filter((power >= first_power) & (n % unit == 0))
 
 
-def adjacent_runs(df: DataFrame, ordinal: str, key: str) -> DataFrame:
-    """Number of maximal runs of equal key along a dense ordinal, per key.
+def adjacent_runs(df: DataFrame, ordinal: str, key: str, block: int = 1 << 20) -> DataFrame:
+    """(key, runs): maximal runs of equal key along an ordinal, which may have gaps.
 
-    The previous row comes from an equi-join on the ordinal, whose keys are all distinct.
+    Neighbours are compared inside blocks of the ordinal; the last key of each block (one
+    row per block) is carried to the next one.
     """
-    prev = df.select((F.col(ordinal) + 1).alias(ordinal), F.col(key).alias("_prev"))
-    rows = df.select(ordinal, key).join(prev, ordinal, "left")
-    starts = rows.filter(F.col("_prev").isNull() | (F.col("_prev") != F.col(key)))
+    rows = df.select(F.col(ordinal).alias("_o"), key).withColumn("_block", F.floor(F.col("_o") / block))
+    ends = rows.groupBy("_block").agg(F.max_by(key, "_o").alias("_tail"))
+    tails = ends.select("_block", F.lag("_tail").over(Window.orderBy("_block")).alias("_before"))
+    inside = Window.partitionBy("_block").orderBy("_o")
+    rows = rows.withColumn("_prev", F.lag(key).over(inside)).join(tails, "_block")
+    prev = F.coalesce("_prev", "_before")
+    starts = rows.filter(prev.isNull() | (prev != F.col(key)))
     return starts.groupBy(key).agg(F.count(F.lit(1)).alias("runs"))

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("relational", "aggregates", "scalars", "windows", "iterative")
+MODULES = ("relational", "aggregates", "scalars", "windows", "iterative", "models")
 
 
 def load() -> None:

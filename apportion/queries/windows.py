@@ -18,7 +18,6 @@ from apportion.queries.base import (
     query,
     table,
 )
-from apportion.session import cut
 
 
 def order_stream(spark, sf_dir):
@@ -49,7 +48,7 @@ r AS (SELECT event_type, n, lag(event_type) OVER (ORDER BY n) AS prev FROM e)
 SELECT event_type, count(*) AS runs FROM r WHERE prev IS NULL OR prev <> event_type GROUP BY 1""")
 def contiguity_runs(spark, sf_dir):
     rows = table(spark, sf_dir, "events").select("event_id", "ts", "event_type")
-    return adjacent_runs(cut(arrival_ordinal(rows, ["ts", "event_id"])), "n", "event_type")
+    return adjacent_runs(arrival_ordinal(rows, ["ts", "event_id"]), "n", "event_type")
 
 
 @query(f"""WITH RECURSIVE {SQL_LISTING_HITS}, {SQL_COMPONENTS}

@@ -86,7 +86,7 @@ def fragment_records(placements: DataFrame, targets: DataFrame, chunk: int = CHU
         F.transform(F.array_sort(F.collect_list(F.struct("_rank", "a"))), lambda x: x["a"]).alias("all"),
     )
     head = F.col("all")[0]
-    left_first = F.coalesce(head["read_l.first"], ~head["read_r.first"])
+    left_first = F.coalesce(head["read_l"]["first"], ~head["read_r"]["first"])
 
     def trimmed(r: Column, base: Column, same_order: Column, i: Column) -> Column:
         same = (i > 0) & same_order

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("relational", "aggregates", "scalars", "windows", "iterative", "models")
+MODULES = ("relational", "aggregates", "scalars", "windows", "iterative", "models", "streams")
 
 
 def load() -> None:

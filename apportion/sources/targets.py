@@ -14,7 +14,7 @@ def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     records = (
         spark.read.option("lineSep", "\n>").text(path)
         .select(F.regexp_replace("value", r"^\s*>", "").alias("r"))
-        .filter(F.trim("r") != "")
+        .filter(F.col("r").rlike("[^\\s]"))
     )
     head = F.regexp_replace(F.substring_index("r", "\n", 1), "\r$", "")
     body = F.when(F.instr("r", "\n") > 0, F.expr("substring(r, instr(r, '\n') + 1)")).otherwise("")

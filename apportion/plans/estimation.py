@@ -16,7 +16,7 @@ from apportion.operators.estimate import bundle_masses, masses_to_counts, result
 from apportion.operators.haplotypes import shared_alpha
 from apportion.operators.layout import HitLayout, build_layout
 from apportion.operators.neighbors import neighbor_sums
-from apportion.operators.online import mass_schedule, online_layout, online_pass, start_state
+from apportion.operators.online import decimal_end, mass_schedule, online_layout, online_pass, start_state
 from apportion.operators.pairing import pair_mates
 from apportion.plans.likelihood import default_model, learn, relearn_background, score, sized_targets
 from apportion.plans.results import annotate_targets
@@ -33,6 +33,8 @@ from apportion.sources.params import AuxModel, read_params
 from apportion.sources.priors import attach_priors, read_priors
 from apportion.sources.targets import read_fasta, read_target_sets, validate_targets
 
+FIRST_SNAPSHOT = 1_000_000  # fixed: intermediate results start at the millionth fragment
+
 
 @dataclass
 class Estimation:
@@ -104,7 +106,7 @@ def estimate(
     sized = cut(sized_targets(spark, targets, aux[0], options).drop("seq"))
 
     hits = scored.select("frag_id", "target_id", "log_w")
-    layout = online_layout(hits, schedule)
+    layout = online_layout(hits, schedule, decimal=options.running_reads)
     known, members = annotate_targets(layout, sized)
     n_frags = options.library_size or layout.n_frags
 
@@ -168,7 +170,11 @@ def run_rounds(
     """Online first pass or batch start, then the extra rounds asked for."""
     on_batch = None
     if options.running_reads:
-        on_batch = lambda batch, s: snapshot(f"reads-{2 ** (batch + 1) - 1}", s)
+
+        def on_batch(batch: int, s: DataFrame) -> None:
+            if decimal_end(batch) >= FIRST_SNAPSHOT:
+                snapshot(str(decimal_end(batch)), s)
+
     on_round = (lambda i, s: snapshot(f"round-{i}", s)) if options.running_rounds else None
     if options.batch_mode:
         return batch_em(layout, known, 1 + options.batch_rounds, variance=True, on_round=on_round)

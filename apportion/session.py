@@ -35,7 +35,14 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/cut-{uuid.uuid4().hex}"
     df.write.option("compression", "lz4").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._settled = True
+    return out
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """df itself if it was just cut, else cut: for tables that a loop reads many times."""
+    return df if df.__dict__.get("_settled") else cut(df)
 
 
 def broadcast_limit(spark: SparkSession) -> int:

@@ -12,7 +12,7 @@ from apportion.operators.graph import bundle_numbers, bundles, connected_compone
 from apportion.operators.haplotypes import haplotype_shares
 from apportion.operators.layout import build_layout
 from apportion.operators.neighbors import neighbor_sums
-from apportion.operators.online import batch_number, mass_schedule, online_layout, online_pass, online_replay, start_state
+from apportion.operators.online import batch_number, decimal_end, mass_schedule, online_layout, online_pass, online_replay, start_state
 from apportion.operators.ordinal import adjacent_runs, arrival_ordinal, forgetting_mass, prefix_sum, snapshot_points
 from apportion.operators.pairing import pair_mates
 from apportion.operators.projection import project_counts
@@ -191,6 +191,8 @@ def test_ordinals_and_masses(spark):
     assert points == [i * 100 for i in range(1, 10)] + [i * 1000 for i in range(1, 6)]
     keys = spark.range(1, 70).select(batch_number(F.col("id")).alias("b"), "id").collect()
     assert all(2**r.b <= r.id < 2 ** (r.b + 1) for r in keys)
+    tens = spark.range(1, 1200).select(batch_number(F.col("id"), decimal=True).alias("b"), "id").collect()
+    assert all(decimal_end(r.b - 1) <= r.id < decimal_end(r.b) for r in tens if r.b)
 
 
 def test_runs_and_ranks(spark):

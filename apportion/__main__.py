@@ -11,6 +11,7 @@ from apportion.config import Options
 from apportion.plans.estimation import load_placements, load_targets
 from apportion.plans.export import write_export
 from apportion.plans.run import run
+from apportion.session import discard_tables
 from apportion.sources.alignments import check_headers
 
 
@@ -67,8 +68,9 @@ def main(argv: list[str] | None = None) -> None:
         header = check_headers(spark, paths)
         placements, _ = load_placements(spark, paths, header, options)
         write_export(placements, load_targets(spark, targets, header, options), options.out_dir)
-        return
-    run(spark, targets, alignments, options)
+    else:
+        run(spark, targets, alignments, options)
+    discard_tables(spark)
 
 
 if __name__ == "__main__":

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from apportion.session import cut, hinted, shuffle_width
 
 _SHIFT = 33
-BLOCK = 65_536
+BLOCK = 1 << 18
 
 
 def arrival_ordinal(df: DataFrame, order: list[Column | str], name: str = "n") -> DataFrame:

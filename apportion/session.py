@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 BROADCAST_BYTES = "apportion.broadcast.bytes"
 GROUP_ROWS = "apportion.group.rows"
 
+_written: list[tuple[str, str | None]] = []  # folder and, for bucketed tables, the table name
+
 
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints; only a local master may use a temporary one."""
@@ -34,6 +36,7 @@ def cut(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/cut-{uuid.uuid4().hex}"
+    _written.append((path, None))
     df.write.option("compression", "lz4").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._settled = True
@@ -74,6 +77,19 @@ def bucketed(df: DataFrame, keys: list[str], label: str, partition_by: str | Non
     spark = df.sparkSession
     width = shuffle_width(spark)
     name = f"apportion_{label}_{uuid.uuid4().hex[:12]}"
-    writer = df.write.bucketBy(width, *keys).sortBy(*keys).option("path", f"{checkpoint_dir(spark)}/{name}")
+    path = f"{checkpoint_dir(spark)}/{name}"
+    _written.append((path, name))
+    writer = df.write.bucketBy(width, *keys).sortBy(*keys).option("path", path)
     (writer.partitionBy(partition_by) if partition_by else writer).saveAsTable(name)
     return spark.table(name)
+
+
+def discard_tables(spark: SparkSession) -> None:
+    """Drop every intermediate table of this session; call once all results are written."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    while _written:
+        path, name = _written.pop()
+        if name:
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
+        folder = jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(conf).delete(folder, True)

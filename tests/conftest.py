@@ -13,7 +13,7 @@ sys.path.insert(0, str(ROOT / "tests"))
 def spark():
     from bench import session
 
-    spark = session(8)
+    spark = session(4)
     yield spark
     spark.stop()
 

@@ -2,20 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from apportion.operators.layout import HitLayout
+from apportion.operators.ordinal import arrival_ordinal
 from apportion.operators.skew import lookup_join
 from apportion.session import cut, hinted
 
 
 def star_links(layout: HitLayout) -> DataFrame:
-    """Links (lo, hi) joining the smallest target of a fragment to its other targets."""
-    rows = layout.per_fragment(
-        layout.hits.filter(F.col("n_targets") > 1), {"lo": ("min", F.col("target_id"))}
-    )
-    return rows.filter(~F.col("lead")).select("lo", F.col("target_id").alias("hi")).distinct()
+    """Links (lo, hi) joining the smallest target of a fragment to its other targets, read
+    straight from the layout; repeats are removed where the links are used."""
+    rows = layout.hits.filter((F.col("n_targets") > 1) & ~F.col("lead"))
+    return rows.select(F.col("first_target").alias("lo"), F.col("target_id").alias("hi"))
 
 
 def connected_components(links: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -67,8 +67,6 @@ def bundles(layout: HitLayout, targets: DataFrame) -> DataFrame:
 
 def bundle_numbers(members: DataFrame) -> DataFrame:
     """Number bundles 1.. by their smallest target id, as a dense ordinal."""
-    from apportion.operators.ordinal import arrival_ordinal
-
     heads = members.filter(F.col("target_id") == F.col("component")).select("component")
     numbered = arrival_ordinal(heads, ["component"], "bundle_id")
     return members.join(numbered, "component")

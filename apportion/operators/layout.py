@@ -21,7 +21,7 @@ AGGS = {"sum": F.sum, "min": F.min, "max": F.max}
 
 @dataclass
 class HitLayout:
-    hits: DataFrame  # frag_id, target_id, w, n_targets, lead, carried columns [, _salt]
+    hits: DataFrame  # frag_id, target_id, w, n_targets, first_target, lead, carried columns [, _salt]
     keys: list[str]
     n_hot: int
     n_targets: int
@@ -109,9 +109,9 @@ def build_layout(
             rows = rows.withColumn("w", _relative(F.col("_best"))).drop("_best", "log_w")
     shell = HitLayout(rows, keys, n_hot, 0, 0, None)
     rows = shell.per_fragment(
-        rows, {"n_targets": ("sum", F.lit(1)), "_first": ("min", F.col("target_id"))}
+        rows, {"n_targets": ("sum", F.lit(1)), "first_target": ("min", F.col("target_id"))}
     )
-    rows = rows.withColumn("lead", F.col("target_id") == F.col("_first")).drop("_first")
+    rows = rows.withColumn("lead", F.col("target_id") == F.col("first_target"))
     if partition_by:
         rows = rows.withColumn(*partition_by)
     stored = bucketed(rows, keys, "hits", partition_by[0] if partition_by else None)

@@ -85,3 +85,12 @@ def test_length_models(spark):
     targets = spark.createDataFrame([(1, 10), (2, 2)], "target_id long, length int")
     got = {r.target_id: r.eff_len for r in effective_length(targets, point, 5).collect()}
     assert got == {1: 8.0, 2: 2.0}
+
+
+def test_command_line_options():
+    from apportion.__main__ import parser
+
+    args = parser().parse_args(["t.fa", "a.sam,b.sam", "-B", "3", "--rf-stranded", "--output-align-samp", "--no-bias-correct"])
+    assert (args.batch_rounds, args.direction, args.hits_out, args.bias) == (3, "RF", "samp", False)
+    with pytest.raises(SystemExit):
+        parser().parse_args(["t.fa", "a.sam", "-B", "1", "-O", "1"])

@@ -60,13 +60,14 @@ def word_edges(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edges[0::2], edges[1::2]
 
 
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(texts: list[bytes], fold: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the words of all texts in order, and where each text's words end.
 
-    Words are runs of bytes other than space and 0x09-0x0D; ASCII letters count as lower case.
+    Words are runs of bytes other than space and 0x09-0x0D; with fold, ASCII letters count as
+    lower case.
     The result has one more border than texts: text i owns words border[i] to border[i + 1].
     """
-    data = np.frombuffer(b"\n".join(t.lower() for t in texts) + b"\n", dtype=np.uint8)
+    data = np.frombuffer(b"\n".join(t.lower() if fold else t for t in texts) + b"\n", dtype=np.uint8)
     starts, ends = word_edges(data)
     sums = np.zeros(len(data) + 1, dtype=np.uint64)
     np.cumsum(_BYTE[data] * _power_table(_MUL, len(data))[: len(data)], out=sums[1:])

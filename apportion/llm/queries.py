@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from apportion.llm.decontaminate import SQL as DECONTAMINATE_SQL
+from apportion.llm.quotes import SQL as QUOTES_SQL
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -101,3 +102,19 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from apportion.llm.pii import digest, find
 
     return digest(find(table(spark, sf_dir, "documents")))
+
+
+@query()
+def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from apportion.llm.html_text import learn, main_text
+
+    pages = table(spark, sf_dir, "pages")
+    found = pages.select("page_id", "url", main_text(F.col("html"), learn(pages), spark).alias("text"))
+    return found.withColumn("n_chars", F.length("text").cast("long"))
+
+
+@query(sql=QUOTES_SQL)
+def op8_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from apportion.llm.quotes import reply_order
+
+    return reply_order(table(spark, sf_dir, "conversations"))

@@ -64,8 +64,9 @@ def rank_within(
 ) -> DataFrame:
     """row_number of an integer order column within keys.
 
-    Keys above the limit are cut into ranges of order; each range is ranked alone and
-    shifted by the counted rows of the ranges before it.
+    Keys above the limit are cut into ranges between their own smallest and largest order, so
+    that neighbouring rows of one key spread as well; each range is ranked alone and shifted by
+    the counted rows of the ranges before it.
     """
     spark = df.sparkSession
     limit = limit or group_limit(spark)
@@ -73,10 +74,10 @@ def rank_within(
     if not n_hot:
         w = Window.partitionBy(*keys).orderBy(order)
         return df.withColumn(name, F.row_number().over(w).cast("bigint"))
-    span = df.agg(F.max(order)).first()[0] or 0
-    rows = df.join(hinted(hot, n_hot), keys, "left")
-    width = F.greatest(F.ceil(F.lit(span + 1) / F.coalesce("_ways", F.lit(1))), F.lit(1))
-    rows = rows.withColumn("_range", F.floor(F.col(order) / width)).drop("_ways")
+    spans = df.join(hinted(hot, n_hot), keys).groupBy(*keys, "_ways").agg(F.min(order).alias("_from"), F.max(order).alias("_to"))
+    rows = df.join(hinted(cut(spans), n_hot), keys, "left")
+    width = F.greatest(F.ceil((F.col("_to") - F.col("_from") + 1) / F.col("_ways")), F.lit(1))
+    rows = rows.withColumn("_range", F.coalesce(F.floor((F.col(order) - F.col("_from")) / width), F.lit(0))).drop("_ways", "_from", "_to")
     counts = rows.groupBy(*keys, "_range").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(

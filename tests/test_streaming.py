@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from apportion.operators.online import mass_schedule, online_layout, online_pass, start_state
+from apportion.operators.online import absolute, mass_schedule, online_layout, online_pass, start_state
 from apportion.streaming.online import OnlineStream, start_online
 from apportion.streaming.repeats import repeated_keys
 
@@ -21,13 +21,13 @@ def test_stream_equals_batches_and_survives_a_retry(spark, tmp_path):
         stream = spark.readStream.schema(HITS).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/{i}")
         start_online(stream, lambda df, _id, i=i: handler(df, i), f"{tmp_path}/ck{i}").awaitTermination()
     assert snapshots == [15, 31, 63]
-    once = {r.target_id: r.mass for r in handler.load()[0].collect()}
+    once = {r.target_id: r.mass for r in absolute(handler.load()[0]).collect()}
     frags = spark.range(1, 64).select(F.col("id").alias("frag_id"), F.col("id").alias("n"))
     layout = online_layout(spark.createDataFrame(rows, HITS), mass_schedule(frags, 0.85))
-    want = {r.target_id: r.mass for r in online_pass(layout, start_state(targets)).collect()}
+    want = {r.target_id: r.mass for r in absolute(online_pass(layout, start_state(targets))).collect()}
     assert once == pytest.approx(want)
     handler(spark.read.schema(HITS).parquet(f"{tmp_path}/in/2"), 2)
-    assert {r.target_id: r.mass for r in handler.load()[0].collect()} == pytest.approx(once)
+    assert {r.target_id: r.mass for r in absolute(handler.load()[0]).collect()} == pytest.approx(once)
 
 
 def test_repeated_keys(spark):

@@ -41,7 +41,7 @@ def parser() -> argparse.ArgumentParser:
     add("--calc-covar", dest="covar", action="store_true")
     add("--expr-alpha", dest="alpha", type=float, default=0.005)
     add("--stop-at", dest="stop_at", type=int, default=0)
-    add("--burn-out", dest="burn_out", type=int, default=5_000_000)
+    add("--burn-out", dest="burn_out", type=int, default=0)
     add("--no-bias-correct", dest="bias", action="store_false")
     add("--no-error-model", dest="errors", action="store_false")
     add("--aux-param-file", dest="aux_path")

@@ -68,9 +68,8 @@ def load_placements(spark: SparkSession, paths: list[str], header: DataFrame, op
         parts.append(pair_mates(reads))
     placements = union_libraries(parts)
     at = F.least(F.col("read_l.line_no"), F.col("read_r.line_no"))
-    frags = fragment_order(placements, at)
+    frags = library_ordinals(cut(fragment_order(placements, at)), len(paths), options.stop_at)
     if options.stop_at:
-        frags = frags.filter(F.col("n") <= options.stop_at)
         placements = placements.join(frags.select("frag_id"), "frag_id", "left_semi")
     # Two placements of a fragment differ in target or in one of their line numbers.
     placements = placements.withColumn(
@@ -79,6 +78,23 @@ def load_placements(spark: SparkSession, paths: list[str], header: DataFrame, op
     return cut(placements), cut(frags)
 
 
+def library_ordinals(frags: DataFrame, libraries: int, stop_at: int = 0) -> DataFrame:
+    """Add n_lib, the ordinal within the library, keep the first stop_at fragments of each
+    library (0: all), and number n anew over what is kept. One count per library is collected."""
+    counts = {r[0]: r[1] for r in frags.groupBy("library_id").count().collect()}
+    first, kept = F.lit(0), F.lit(0)
+    seen = left = 0
+    for i in range(libraries):
+        mine = F.col("library_id") == i
+        first, kept = F.when(mine, seen).otherwise(first), F.when(mine, left).otherwise(kept)
+        seen += counts.get(i, 0)
+        left += min(counts.get(i, 0), stop_at) if stop_at else counts.get(i, 0)
+    frags = frags.withColumn("n_lib", F.col("n") - first)
+    if stop_at:
+        frags = frags.filter(F.col("n_lib") <= stop_at)
+    return frags.withColumn("n", F.col("n_lib") + kept)
+
+
 def estimate(
     spark: SparkSession,
     fasta: str,
@@ -95,9 +111,9 @@ def estimate(
     header = cut(check_headers(spark, paths))
     targets = load_targets(spark, fasta, header, options)
     placements, frags = load_placements(spark, paths, header, options)
-    schedule = cut(mass_schedule(frags, 1.0 if options.batch_mode else options.forget))
+    schedule = cut(mass_schedule(frags.select("frag_id", "n"), 1.0 if options.batch_mode else options.forget))
 
-    aux = [auxiliary_model(spark, p, placements, schedule, targets, options, i) for i, p in enumerate(paths)]
+    aux = [auxiliary_model(spark, p, placements, frags, schedule, targets, options, i) for i, p in enumerate(paths)]
     scored = None
     for i, model in enumerate(aux):
         part = score(spark, placements.filter(F.col("library_id") == i), targets, model, options)
@@ -125,15 +141,23 @@ def estimate(
         masses = bundle_masses(known.drop("bundle_mass").join(state.select("target_id", "mass"), "target_id"))
         scale = masses.groupBy("bundle_id").agg(F.first(factor).alias("renorm"))
         last_is_batch = options.batch_rounds or options.batch_mode or options.both
-        mass = None if last_is_batch else F.exp("log_mass")
+        mass = None if last_is_batch else F.exp(F.col("log_mass") - F.lit(final_scale(state)))
         covar = bundle_covariance(covariance_pairs(post, mass), members, scale)
     return Estimation(table(state), share_out(scored, post), covar, aux, known, placements, layout, n_frags)
 
 
 def auxiliary_model(
-    spark: SparkSession, path: str, placements: DataFrame, schedule: DataFrame, targets: DataFrame, options: Options, library: int
+    spark: SparkSession,
+    path: str,
+    placements: DataFrame,
+    frags: DataFrame,
+    schedule: DataFrame,
+    targets: DataFrame,
+    options: Options,
+    library: int,
 ) -> AuxModel:
-    """Read the tables, or learn them from the first burn_out fragments of a library.
+    """Read the tables, or learn them from a library's fragments: all of them, or the first
+    burn_out if that is set.
 
     Learning weights each placement by its expected share under the length prior alone;
     a second sweep re-weights with the first tables and refreshes the bias background
@@ -143,7 +167,10 @@ def auxiliary_model(
         return read_params(spark, options.aux_path, options.bias_order)
     plain = dc_replace(options, errors=False, bias=False)
     first = default_model(options)
-    early = schedule.filter(F.col("n") <= options.burn_out).select("frag_id", "log_mass")
+    early = frags.filter(F.col("library_id") == library)
+    if options.burn_out:
+        early = early.filter(F.col("n_lib") <= options.burn_out)
+    early = early.select("frag_id").join(schedule.select("frag_id", "log_mass"), "frag_id")
     rows = placements.filter(F.col("library_id") == library).join(early, "frag_id")
 
     def shares(model: AuxModel, opts: Options) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -213,13 +240,18 @@ def result_rows(known: DataFrame, state: DataFrame) -> DataFrame:
 
 def assign(layout: HitLayout, known: DataFrame, state: DataFrame, options: Options) -> DataFrame:
     """Final posteriors; without extra rounds pseudo-counts still take part."""
-    pseudo = F.col("alpha") * F.col("eff_len")
+    pseudo = F.col("alpha") * F.col("eff_len") * F.exp(-F.lit(final_scale(state)))
     first_only = not (options.batch_rounds or options.online_rounds or options.batch_mode or options.both)
     theta = F.col("mass") + pseudo if first_only else F.col("mass")
     table = state.select("target_id", "mass").join(known.select("target_id", "eff_len", "alpha"), "target_id")
     return posteriors(layout, table.withColumn("theta", theta))
 
 
+def final_scale(state: DataFrame) -> float:
+    """Log scale of a state's masses; 0 after batch rounds, which count plain numbers."""
+    return float(state.agg(F.max("log_scale")).first()[0] or 0.0) if "log_scale" in state.columns else 0.0
+
+
 def share_out(scored: DataFrame, post: DataFrame) -> DataFrame:
     """Placements with p: a target's posterior split over the fragment's placements on it
     by their likelihood."""

@@ -10,12 +10,10 @@ from pyspark.sql import functions as F
 
 from apportion.functions.sequence import two_bit, two_bit_hex
 from apportion.operators.mismatch import base_events
-from apportion.operators.skew import rank_within
+from apportion.operators.skew import lookup_join, rank_within
 from apportion.plans.likelihood import aligned_reads
 from apportion.session import cut
 
-CHUNK = 10_000
-
 
 def target_records(targets: DataFrame) -> DataFrame:
     """(name, id, length, seq): two bits per base, the first base lowest."""
@@ -34,7 +32,10 @@ def read_differences(placements: DataFrame, targets: DataFrame) -> DataFrame:
         F.array_sort(F.collect_list(F.struct("pos", "cur", "ref"))).alias("d")
     )
     letters = lambda k: F.translate(F.array_join(F.transform("d", lambda x: x[k].cast("string")), ""), "0123", "ACGT")
-    hexed = F.array_join(F.transform("d", lambda x: F.lpad(F.hex(x["pos"]), 2, "0")), "")
+    # One byte holds a position; a longer read must not lose its upper bits.
+    far = F.raise_error(F.concat(F.lit("a difference beyond read position 255 in "), F.col("hit_id")))
+    byte = lambda pos: F.when(pos > 255, far).otherwise(F.lpad(F.hex(pos), 2, "0"))
+    hexed = F.array_join(F.transform("d", lambda x: byte(x["pos"])), "")
     return diff.select(
         "hit_id",
         F.when(F.col("reversed"), "r").otherwise("l").alias("side"),
@@ -44,20 +45,19 @@ def read_differences(placements: DataFrame, targets: DataFrame) -> DataFrame:
     )
 
 
-def fragment_records(placements: DataFrame, targets: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """(name, part, paired, alignments): placements of a fragment in input order.
+def fragment_records(placements: DataFrame, targets: DataFrame) -> DataFrame:
+    """(name, rank, paired, target_id, read_l, read_r): one row per placement, ranked in input
+    order within its fragment.
 
-    A read equal to the first alignment's read leaves out its differences. Fragments with
-    more than chunk placements continue in further records (part 1, 2, ...), each relative
-    to its own first alignment, so a record never outgrows a task.
+    A read equal to the read of the fragment's first placement leaves out its differences. The
+    first placement comes from a pre-aggregated minimum, so fragments of any width stay flat.
     """
     diffs = read_differences(placements, targets)
     none = F.unhex(F.lit(""))
+    fields = ("mismatch_indices", "mismatch_nucs", "_refs")
 
-    def side(col: str, key: str) -> DataFrame:
-        return diffs.filter(F.col("side") == key).select(
-            "hit_id", F.struct("indices", "nucs", "refs").alias(f"_d_{key}")
-        )
+    def side(key: str) -> DataFrame:
+        return diffs.filter(F.col("side") == key).select("hit_id", F.struct("indices", "nucs", "refs").alias(f"_d_{key}"))
 
     def read(col: str, key: str) -> Column:
         d = F.col(f"_d_{key}")
@@ -73,38 +73,33 @@ def fragment_records(placements: DataFrame, targets: DataFrame, chunk: int = CHU
             ),
         )
 
-    rows = placements.join(side("read_l", "l"), "hit_id", "left").join(side("read_r", "r"), "hit_id", "left")
+    rows = placements.join(side("l"), "hit_id", "left").join(side("r"), "hit_id", "left")
     rows = rows.withColumn("_line", F.least(F.col("read_l.line_no"), F.col("read_r.line_no")))
     rows = rows.select(
-        "frag_id", "name", "_line", (F.col("pair_status") == "PAIRED").alias("paired"),
-        F.struct("target_id", read("read_l", "l").alias("read_l"), read("read_r", "r").alias("read_r")).alias("a"),
+        "frag_id", "name", "_line", (F.col("pair_status") == "PAIRED").alias("paired"), "target_id", read("read_l", "l").alias("read_l"), read("read_r", "r").alias("read_r")
     )
-    rows = rank_within(rows, ["frag_id"], "_line", "_rank").withColumn("part", F.floor((F.col("_rank") - 1) / chunk))
-    nested = rows.groupBy("frag_id", "part").agg(
-        F.first("name").alias("name"),
-        F.min_by("paired", "_rank").alias("paired"),
-        F.transform(F.array_sort(F.collect_list(F.struct("_rank", "a"))), lambda x: x["a"]).alias("all"),
-    )
-    head = F.col("all")[0]
-    left_first = F.coalesce(head["read_l"]["first"], ~head["read_r"]["first"])
-
-    def trimmed(r: Column, base: Column, same_order: Column, i: Column) -> Column:
-        same = (i > 0) & same_order
-        for f in ("mismatch_indices", "mismatch_nucs", "_refs"):
+    rows = cut(rank_within(rows, ["frag_id"], "_line", "rank"))
+    heads = rows.filter(F.col("rank") == 1).select("frag_id", F.col("read_l").alias("_head_l"), F.col("read_r").alias("_head_r"))
+    rows = lookup_join(rows, heads, ["frag_id"], heads.count(), ["_line"], row_bytes=256)
+    left_first = F.coalesce(F.col("_head_l.first"), ~F.col("_head_r.first"))
+
+    def trimmed(r: Column, base: Column, same_order: Column) -> Column:
+        same = (F.col("rank") > 1) & same_order
+        for f in fields:
             same &= r[f] == F.coalesce(base[f], none)
         keep = lambda f: F.when(~same, r[f]).alias(f)
-        fields = [r[f].alias(f) for f in ("first", "left_pos", "right_pos")]
-        return F.when(r.isNotNull(), F.struct(*fields, keep("mismatch_indices"), keep("mismatch_nucs")))
-
-    out = F.transform(
-        "all",
-        lambda a, i: F.struct(
-            a["target_id"].alias("target_id"),
-            trimmed(a["read_l"], head["read_l"], a["read_l"]["first"] == left_first, i).alias("read_l"),
-            trimmed(a["read_r"], head["read_r"], a["read_r"]["first"] != left_first, i).alias("read_r"),
-        ),
+        plain = [r[f].alias(f) for f in ("first", "left_pos", "right_pos")]
+        return F.when(r.isNotNull(), F.struct(*plain, keep("mismatch_indices"), keep("mismatch_nucs")))
+
+    left, right = F.col("read_l"), F.col("read_r")
+    return rows.select(
+        "name",
+        "rank",
+        "paired",
+        "target_id",
+        trimmed(left, F.col("_head_l"), left["first"] == left_first).alias("read_l"),
+        trimmed(right, F.col("_head_r"), right["first"] != left_first).alias("read_r"),
     )
-    return nested.select("name", "part", "paired", out.alias("alignments"))
 
 
 def _varint(n: int) -> bytes:
@@ -149,27 +144,26 @@ def target_lines(records: DataFrame) -> DataFrame:
 
 
 def fragment_lines(records: DataFrame) -> DataFrame:
-    """One base64 fragment message per row."""
+    """One base64 message per placement: its fragment with this placement and its rank (tag 5)."""
 
     @F.pandas_udf("string")
-    def encode(name: pd.Series, paired: pd.Series, alignments: pd.Series) -> pd.Series:
+    def encode(name: pd.Series, rank: pd.Series, paired: pd.Series, target: pd.Series, reads: pd.DataFrame) -> pd.Series:
         out = []
-        for n, p, rows in zip(name, paired, alignments, strict=True):
-            msg = _bytes(1, n.encode()) + _number(2, p)
-            for a in rows:
-                body = _number(1, a["target_id"])
-                for tag, key in ((3, "read_l"), (4, "read_r")):
-                    if a[key] is not None:
-                        body += _bytes(tag, _read_message(a[key]))
-                msg += _bytes(3, body)
-            out.append(base64.b64encode(msg).decode())
+        for n, i, p, t, left, right in zip(name, rank, paired, target, reads["l"], reads["r"], strict=True):
+            body = _number(1, t)
+            for tag, read in ((3, left), (4, right)):
+                if read is not None:
+                    body += _bytes(tag, _read_message(read))
+            message = _bytes(1, n.encode()) + _number(2, p) + _bytes(3, body) + _number(5, i)
+            out.append(base64.b64encode(message).decode())
         return pd.Series(out, dtype=object)
 
-    return records.select(encode("name", "paired", "alignments").alias("value"))
+    reads = F.struct(F.col("read_l").alias("l"), F.col("read_r").alias("r"))
+    return records.select(encode("name", "rank", "paired", "target_id", reads).alias("value"))
 
 
 def write_export(placements: DataFrame, targets: DataFrame, path: str) -> None:
-    """targets and fragments as message lines, fragments also as nested parquet."""
+    """targets and placements as message lines, placements also as parquet."""
     target_lines(target_records(targets)).write.mode("overwrite").text(f"{path}/targets")
     records = cut(fragment_records(placements, targets))
     records.write.mode("overwrite").parquet(f"{path}/fragments.parquet")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from apportion.functions.sampling import name_uniform
 from apportion.functions.sequence import NUCS
 from apportion.operators.sites import CUTOFF
-from apportion.session import group_limit
+from apportion.operators.skew import lookup_join
 from apportion.sources.lines import numbered_lines
 
 _EXP = ("ambig_distr_alpha", "ambig_distr_beta", "fpkm", "fpkm_conf_low", "fpkm_conf_high", "tpm")
@@ -25,42 +25,28 @@ def write_results(results: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").option("sep", "\t").option("header", True).csv(path)
 
 
-def write_covariances(covariances: DataFrame, members: DataFrame, path: str, limit: int | None = None) -> None:
-    """One text block per bundle: '>id: names' and the dense matrix rows.
+def write_covariances(covariances: DataFrame, members: DataFrame, path: str) -> None:
+    """Tab-separated cells (bundle_id, target_1, target_2, covariance) by name, both triangles.
 
-    Bundles above the size limit are written as 'row<TAB>column<TAB>value' cells under the
-    same header instead; cells not listed are zero, so nothing is lost.
-    members: bundle_id, target_id, name.
+    Cells that are absent are zero. members: bundle_id, target_id, name.
     """
-    limit = limit or max(int(group_limit(covariances.sparkSession) ** 0.5), 2)
-    sizes = members.groupBy("bundle_id").agg(F.count(F.lit(1)).alias("_n"))
-    small = sizes.filter(F.col("_n") <= limit).select("bundle_id")
-    inside = members.join(small, "bundle_id", "left_semi")
+    names = members.select("target_id", "name")
+    rows = names.count()
     cells = covariances.unionByName(
         covariances.filter("target_1 <> target_2").select(
             "bundle_id", F.col("target_2").alias("target_1"), F.col("target_1").alias("target_2"), "covar"
         )
     )
-    listed = inside.groupBy("bundle_id").agg(F.sort_array(F.collect_list(F.struct("target_id", "name"))).alias("_m"))
-    row_cells = cells.join(small, "bundle_id", "left_semi").groupBy("bundle_id", "target_1").agg(
-        F.map_from_entries(F.collect_list(F.struct("target_2", "covar"))).alias("_v")
-    )
-    rows = inside.select("bundle_id", F.col("target_id").alias("target_1")).join(row_cells, ["bundle_id", "target_1"], "left")
-    rows = rows.join(listed, "bundle_id")
-    value = lambda m: F.format_string("%e", F.coalesce(F.try_element_at("_v", m["target_id"]), F.lit(0.0)))
-    dense = rows.select("bundle_id", F.col("target_1").alias("_at"), F.array_join(F.transform("_m", value), "\t").alias("value"))
-    heads = listed.select(
+    for end, other in (("target_1", "target_2"), ("target_2", "target_1")):
+        own = names.select(F.col("target_id").alias(end), F.col("name").alias(f"{end}_name"))
+        cells = lookup_join(cells, own, [end], rows, [other])
+    shown = cells.orderBy("bundle_id", "target_1", "target_2").select(
         "bundle_id",
-        F.lit(-1).cast("bigint").alias("_at"),
-        F.concat(F.lit(">"), "bundle_id", F.lit(": "), F.array_join(F.transform("_m", lambda m: m["name"]), ", ")).alias("value"),
-    )
-    large = sizes.filter(F.col("_n") > limit).select("bundle_id")
-    big_heads = large.select("bundle_id", F.lit(-1).cast("bigint").alias("_at"), F.concat(F.lit(">"), "bundle_id", F.lit(": cells")).alias("value"))
-    big = covariances.join(large, "bundle_id", "left_semi").select(
-        "bundle_id", F.col("target_1").alias("_at"), F.concat_ws("\t", "target_1", "target_2", F.format_string("%e", "covar")).alias("value")
+        F.col("target_1_name").alias("target_1"),
+        F.col("target_2_name").alias("target_2"),
+        F.format_string("%e", "covar").alias("covariance"),
     )
-    lines = heads.unionByName(dense).unionByName(big_heads).unionByName(big)
-    lines.orderBy("bundle_id", "_at").select("value").write.mode("overwrite").text(path)
+    shown.write.mode("overwrite").option("sep", "\t").option("header", True).csv(path)
 
 
 def annotated_lines(assigned: DataFrame) -> DataFrame:

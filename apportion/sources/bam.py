@@ -24,7 +24,9 @@ SCHEMA = (
 
 
 def _open(path: str):
-    if "://" in path or path.startswith("file:"):
+    if path.startswith("file:"):
+        filesystem, inner = fs.LocalFileSystem(), "/" + path.removeprefix("file:").lstrip("/")
+    elif "://" in path:
         filesystem, inner = fs.FileSystem.from_uri(path)
     else:
         filesystem, inner = fs.LocalFileSystem(), path
@@ -35,29 +37,41 @@ class _Blocks:
     """Sequential access to the compressed blocks of one file."""
 
     def __init__(self, path: str):
+        self.path = path
         self.file = _open(path)
         self.size = self.file.size()
 
     def block(self, at: int) -> tuple[bytes, int] | None:
-        """(data, next offset) of the block at a file offset, or None."""
-        head = self.file.read_at(min(18, self.size - at), at) if at < self.size else b""
-        if len(head) < 18 or not head.startswith(BLOCK_MAGIC) or head[12:14] != b"BC":
+        """(data, next offset) of the block at a file offset; None at the end of the file.
+
+        Anything else there, a cut or a damaged block, is an error: no record may get lost.
+        """
+        if at >= self.size:
             return None
+        head = self.file.read_at(min(18, self.size - at), at)
+        if not self._is_head(head):
+            raise ValueError(f"{self.path}: no block at byte {at}; the file is damaged or cut off")
         length = struct.unpack_from("<H", head, 16)[0] + 1
-        raw = self.file.read_at(length, at)
-        if len(raw) < length:
-            return None
+        raw = self.file.read_at(min(length, self.size - at), at)
         try:
+            if len(raw) < length:
+                raise zlib.error("the file ends inside it")
             return zlib.decompress(raw, 31), at + length
-        except zlib.error:
-            return None
+        except zlib.error as e:
+            raise ValueError(f"{self.path}: the block at byte {at} is damaged: {e}") from e
+
+    @staticmethod
+    def _is_head(head: bytes) -> bool:
+        """Block magic and the one extra field that holds the block's length."""
+        return len(head) == 18 and head.startswith(BLOCK_MAGIC) and head[10:16] == b"\x06\0BC\x02\0"
 
     def first_block(self, at: int, end: int) -> int | None:
-        """Offset of the first real block starting in [at, end)."""
+        """Offset of the first block starting in [at, end)."""
         data = self.file.read_at(min(end - at + 18, self.size - at), at)
         i = data.find(BLOCK_MAGIC)
         while 0 <= i < end - at:
-            if self.block(at + i) is not None:
+            if self._is_head(data[i : i + 18]):
+                self.block(at + i)  # sixteen fixed bytes are no accident: a damaged block is an error
                 return at + i
             i = data.find(BLOCK_MAGIC, i + 1)
         return None
@@ -204,7 +218,9 @@ class BamReader(DataSourceReader):
                 base, block = next(o for o in reversed(origin) if o[0] <= i)
                 yield (part.path, block, i - base, *_decode(data, i, refs))
                 i += 4 + size
-            if (i >= owned and (pending is None or pending >= part.end)) or pending is None:
+            if pending is None and i < owned:
+                raise ValueError(f"{part.path} ends inside a record")
+            if i >= owned and (pending is None or pending >= part.end):
                 return
             drop = max(o[0] for o in origin if o[0] <= i) if origin else 0
             if drop:
@@ -226,18 +242,28 @@ class BamSource(DataSource):
         return BamReader(self.options["path"], int(self.options.get("range_bytes", RANGE_BYTES)))
 
 
+def _hadoop_path(spark: SparkSession, path: str):
+    """(path, file system) as Spark's own readers resolve them."""
+    jvm = spark.sparkContext._jvm
+    found = jvm.org.apache.hadoop.fs.Path(path)
+    return found, found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def is_bam(spark: SparkSession, path: str) -> bool:
-    """Compressed-block magic at the start of the file."""
+    """Compressed-block magic at the start of the file; a file that cannot be read is an error."""
+    found, files = _hadoop_path(spark, path)
+    stream = files.open(found)
     try:
-        with _open(path) as f:
-            return f.read(4) == BLOCK_MAGIC
-    except OSError:
-        return False
+        return all(stream.read() == b for b in BLOCK_MAGIC)
+    finally:
+        stream.close()
 
 
 def read_bam(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES) -> DataFrame:
     spark.dataSource.register(BamSource)
-    return spark.read.format("bam").option("range_bytes", str(range_bytes)).load(path)
+    found, files = _hadoop_path(spark, path)
+    whole = found.makeQualified(files.getUri(), files.getWorkingDirectory()).toString()
+    return spark.read.format("bam").option("range_bytes", str(range_bytes)).load(whole)
 
 
 def bam_fields(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES) -> DataFrame:

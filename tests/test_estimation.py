@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from apportion.config import Options
 from apportion.operators.estimate import RESULT_COLUMNS
-from apportion.plans.estimation import estimate
+from apportion.plans.estimation import estimate, library_ordinals
 from apportion.plans.run import run
 
 FAST = dict(errors=False, bias=False)
@@ -97,6 +97,20 @@ def test_two_libraries(spark, simulated):
     assert out.n_frags == 2 * sum(truth.values())
 
 
+def test_phases_count_each_library_alone(spark, simulated):
+    fasta, sam, truth = simulated
+    n = sum(truth.values())
+    out = estimate(spark, fasta, f"{sam},{sam}", Options(stop_at=40, **FAST))
+    assert out.n_frags == 80
+    ordinals = library_ordinals(
+        spark.createDataFrame([(f"a{i}", 0, i) for i in range(1, 6)] + [(f"b{i}", 1, 5 + i) for i in range(1, 4)], "frag_id string, library_id int, n long"), 2, 2
+    )
+    assert {(r.frag_id, r.n, r.n_lib) for r in ordinals.collect()} == {("a1", 1, 1), ("a2", 2, 2), ("b1", 3, 1), ("b2", 4, 2)}
+    # The second library learns from its own first fragments although they come after burn-out.
+    early = estimate(spark, fasta, f"{sam},{sam}", Options(batch_mode=True, burn_out=n // 2, bias=False, errors=False))
+    assert early.aux[0].lengths == pytest.approx(early.aux[1].lengths)
+
+
 def test_stop_at_and_priors(spark, simulated, tmp_path):
     fasta, sam, _ = simulated
     priors = tmp_path / "priors.txt"

@@ -72,7 +72,6 @@ def test_options_are_validated():
     for bad in (dict(forget=0.4), dict(direction="X"), dict(batch_rounds=1, online_rounds=1), dict(hits_out="x")):
         with pytest.raises(ValueError):
             Options(**bad)
-    assert Options(aux_path="p").effective_burn_out == 0
 
 
 def test_length_models(spark):

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from apportion.llm.words import text_bytes
-from apportion.session import cut, fits_broadcast
+from apportion.session import cut, hinted
 
 PER_LABEL = 3000  # labelled texts of each label, at most, by hash order; half build, half fit
 PIECES, PIECE = 4, 2048  # of a text that builds a dictionary: so many stretches of so many bytes
@@ -123,11 +123,13 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     spark = docs.sparkSession
     known = labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isNotNull())
     known = known.groupBy(F.col(id_col).alias("_id")).agg((F.min(label_col) > 0).cast("int").alias("label"))
-    small = F.broadcast(known) if fits_broadcast(spark, known.count(), 24) else known
-    rows = docs.filter(F.col(text_col).isNotNull()).join(small, docs[id_col] == F.col("_id"))
-    rows = rows.select("label", F.xxhash64("_id").alias("order"), F.col(text_col).cast("string").alias("text"))
-    by_label = [rows.filter(F.col("label") == v).orderBy("order", F.xxhash64("text")).limit(PER_LABEL) for v in (1, 0)]
-    sample = cut(by_label[0].union(by_label[1]).select("label", F.pmod("order", F.lit(2)).alias("building"), "text"))
+    # The ids are chosen before any text is read, and a repeated id teaches once.
+    chosen = [known.filter(F.col("label") == v).orderBy(F.xxhash64("_id"), "_id").limit(PER_LABEL) for v in (1, 0)]
+    chosen = cut(chosen[0].union(chosen[1]))
+    text = docs[text_col].cast("string")
+    rows = docs.filter(text.isNotNull()).join(hinted(chosen, chosen.count(), 24), docs[id_col] == F.col("_id"))
+    rows = rows.groupBy("_id", "label").agg(F.min_by(text, F.xxhash64(text)).alias("text"))
+    sample = cut(rows.select("label", F.pmod(F.xxhash64("_id"), F.lit(2)).alias("building"), "text"))
     got = sample.filter("building = 1").mapInArrow(_pieces, "label int, building long, piece binary").toArrow()
     label = np.array(got["label"].to_pylist(), dtype=int)
     pieces = got["piece"].to_pylist()

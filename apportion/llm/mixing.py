@@ -19,7 +19,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from apportion.session import cut, fits_broadcast, hinted
+from apportion.session import cut, hinted
 
 DOMAINS = ("clean", "low_quality", "toxic")
 TARGETS = {"clean": 0.93, "low_quality": 0.05, "toxic": 0.02}
@@ -64,10 +64,10 @@ def classifier(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str) -
     """(mark, w0, w1, ...) log weights of the telling marks by domain, and the domains."""
     known = labels.filter(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.min("quality").alias("q"), F.max("toxic").alias("x"))
     known = known.select("_id", domain(F.coalesce("q", F.lit(0)), F.coalesce("x", F.lit(0))).alias("domain"))
-    rows = known.count()
-    small = known if not fits_broadcast(docs.sparkSession, rows, 32) else F.broadcast(known)
-    sample = docs.join(small, docs[id_col] == F.col("_id")).select(docs[id_col], docs[text_col], "domain")
-    sample = sample.orderBy(F.xxhash64(id_col), F.xxhash64(text_col)).limit(LABELLED)
+    # The ids are chosen before any text is read, and a repeated id teaches once.
+    known = cut(known.orderBy(F.xxhash64("_id"), "_id").limit(LABELLED))
+    sample = docs.join(hinted(known, known.count(), 32), docs[id_col] == F.col("_id")).groupBy("_id", "domain")
+    sample = sample.agg(F.min_by(docs[text_col], F.xxhash64(docs[text_col].cast("string"))).alias(text_col)).withColumnRenamed("_id", id_col)
     sample = cut(sample)
     totals = {r["domain"]: r["count"] for r in sample.groupBy("domain").count().collect()}
     domains = [d for d in DOMAINS if d in totals]

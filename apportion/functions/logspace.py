@@ -21,14 +21,6 @@ def sexp(x: Column) -> Column:
     return F.coalesce(F.exp(x), F.lit(0.0))
 
 
-def is_log_zero(x: Column) -> Column:
-    return x.isNull()
-
-
-def approx_eq(x: Column, y: Column, eps: float = 1e-6) -> Column:
-    return F.abs(x - y) < F.lit(eps)
-
-
 def safe_log(x: Column) -> Column:
     return F.when(x > 0, F.ln(x))
 

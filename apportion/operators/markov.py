@@ -115,14 +115,11 @@ def marginals(counts: DataFrame, order: int) -> DataFrame:
     return rows.groupBy("pos", "cond", "nuc").agg(F.sum("mass").alias("mass"))
 
 
-def transition_probabilities(
-    counts: DataFrame, order: int, positions: int, alpha: float, keys: list[str] | None = None
-) -> DataFrame:
-    """Dense (keys, pos, cond, nuc, prob) with pseudo-count alpha in every cell.
+def transition_probabilities(counts: DataFrame, order: int, positions: int, alpha: float) -> DataFrame:
+    """Dense (pos, cond, nuc, prob) with pseudo-count alpha in every cell.
 
-    The grid has positions * 4^(order+1) rows per key, whatever the data size.
+    The grid has positions * 4^(order+1) rows, whatever the data size.
     """
-    keys = keys or []
     spark = counts.sparkSession
     cells = 4 ** (order + 1)
     grid = spark.range(positions * cells).select(
@@ -130,17 +127,11 @@ def transition_probabilities(
         F.floor((F.col("id") % cells) / 4).alias("cond"),
         (F.col("id") % 4).alias("nuc"),
     )
-    if keys:
-        grid = counts.select(*keys).distinct().withColumn("_one", F.lit(1)).join(
-            grid.withColumn("_one", F.lit(1)), "_one"
-        ).drop("_one")
-    full = grid.join(counts, [*keys, "pos", "cond", "nuc"], "left").withColumn(
+    full = grid.join(counts, ["pos", "cond", "nuc"], "left").withColumn(
         "mass", F.coalesce("mass", F.lit(0.0)) + F.lit(alpha)
     )
-    total = full.groupBy(*keys, "pos", "cond").agg(F.sum("mass").alias("_t"))
-    return full.join(total, [*keys, "pos", "cond"]).select(
-        *keys, "pos", "cond", "nuc", (F.col("mass") / F.col("_t")).alias("prob")
-    )
+    total = full.groupBy("pos", "cond").agg(F.sum("mass").alias("_t"))
+    return full.join(total, ["pos", "cond"]).select("pos", "cond", "nuc", (F.col("mass") / F.col("_t")).alias("prob"))
 
 
 def dense_log_table(probs: DataFrame, order: int, positions: int) -> np.ndarray:

@@ -71,7 +71,8 @@ def snapshot_schedule(spark, sf_dir):
   SELECT o_orderkey FROM orders ORDER BY o_orderdate, o_orderkey LIMIT 5000) GROUP BY 1""")
 def stop_at(spark, sf_dir):
     """Estimation restricted to the first 5000 fragments, the effect of the stop-at option."""
-    first = order_stream(spark, sf_dir).filter("n <= 5000")
+    orders = table(spark, sf_dir, "orders").orderBy("o_orderdate", "o_orderkey").limit(5000)
+    first = orders.select(F.col("o_orderkey").alias("frag_id"))
     rows = part_hits(spark, sf_dir).join(first, "frag_id", "left_semi")
     return rows.groupBy("target_id").agg(F.count(F.lit(1)).alias("n_hits"))
 

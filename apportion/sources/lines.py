@@ -32,7 +32,6 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
 
 def _split_count(raw: DataFrame) -> int:
     """Upper bound for the number of splits: every split has at least one task share."""
-    conf = raw.sparkSession.conf
     files = raw.inputFiles()
-    size = int(conf.get("spark.sql.files.maxPartitionBytes").rstrip("bB") or 128 << 20)
+    size = raw.sparkSession._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
     return len(files) + raw.rdd.getNumPartitions() * max(1, (128 << 20) // max(size, 1))

@@ -30,7 +30,8 @@ BUCKETS = 1 << 16  # counters of each order and language: the model's size has t
 SWITCH = 9.0  # nats that a change of language costs
 SMOOTH = 0.5
 RARE_SCRIPT = 0.01  # a language is a candidate for scripts with this share of its words
-BATCH = 32 << 20  # bytes of text labelled in lockstep
+BATCH = 8 << 20  # bytes of text labelled in lockstep
+STRETCH = 1 << 19  # bytes whose words are scored at a time
 _LETTER = re.compile(r"[^\W\d_]")
 
 # Script of a word by the first byte of its UTF-8 form. 0 Latin, 1 Greek,
@@ -77,7 +78,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang in sorted(set(langs)):
             own = [texts[i] for i in np.flatnonzero(langs == lang)]
             total = np.zeros(len(ORDERS) * BUCKETS + N_SCRIPTS, dtype=np.int64)
-            for lo, hi in chunks(own):
+            for lo, hi in chunks(own, STRETCH):
                 data, starts, ends, _, _ = letters(own[lo:hi])
                 for o, n in enumerate(ORDERS):
                     first, stop = gram_range(starts, ends, n)
@@ -110,7 +111,7 @@ class LanguageModel:
             scores += sums[stop] - sums[first]
         scores /= len(ORDERS)
         may = self.allowed[_SCRIPT[data[starts]]]
-        return np.where(may, scores, np.where(may.any(axis=1), -1e3, 0.0)[:, None])
+        return np.where(may, scores, np.where(may.any(axis=1), -1e3, 0.0)[:, None]).astype(np.float32)
 
 
 def viterbi(scores: np.ndarray, border: np.ndarray, switch: float) -> np.ndarray:
@@ -125,7 +126,7 @@ def viterbi(scores: np.ndarray, border: np.ndarray, switch: float) -> np.ndarray
     active = np.searchsorted(-size, -np.arange(size[0]), side="left")  # texts longer than t words
     jumped = np.zeros(scores.shape, dtype=bool)
     source = np.zeros(len(scores), dtype=np.int16)
-    best = scores[begin].copy()
+    best = scores[begin].astype(np.float64)
     for t in range(1, size[0]):
         k = active[t]
         v = best[:k]
@@ -151,8 +152,8 @@ def _labelled(texts: list[bytes], model: LanguageModel) -> Iterator[tuple[list,
     for lo, hi in chunks(texts, BATCH):
         own = texts[lo:hi]
         # Scores are found over short stretches, which keeps the tables in the cache.
-        words, stretch, lengths, points, ends_at, per_text = [], [], [], [], [], []
-        for a, b in chunks(own):
+        words, lengths, points, ends_at, per_text = [], [], [], [], []
+        for a, b in chunks(own, STRETCH):
             data, starts, ends, border, begins = letters(own[a:b])
             words.append(model.word_scores(data, starts, ends))
             point = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))
@@ -161,17 +162,16 @@ def _labelled(texts: list[bytes], model: LanguageModel) -> Iterator[tuple[list,
             ends_at.append(point[ends] - base)
             lengths.append(ends - starts)
             per_text.append(np.diff(border))
-            stretch.append(len(starts))
         scores, length = np.concatenate(words), np.concatenate(lengths)
         start, end = np.concatenate(points), np.concatenate(ends_at)
+        words.clear()
         counts = np.concatenate(per_text)
         border = np.concatenate(([0], np.cumsum(counts)))
         owner = np.repeat(np.arange(len(own)), counts)
         labels = viterbi(scores, border, SWITCH)
         n = len(model.langs)
         mass = np.bincount(owner * n + labels, weights=length, minlength=len(own) * n).reshape(-1, n)
-        total = np.zeros((len(own), n))
-        np.add.at(total, owner, scores)
+        total = np.column_stack([np.bincount(owner, weights=scores[:, j], minlength=len(own)) for j in range(n)])
         pick = mass.argmax(axis=1)
         share = mass.max(axis=1) / np.maximum(mass.sum(axis=1), 1)
         rival = np.where(np.arange(n) == pick[:, None], -np.inf, total).max(axis=1) if n > 1 else np.full(len(own), -np.inf)

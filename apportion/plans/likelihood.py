@@ -80,7 +80,8 @@ def learn(
     lengths = prior_masses(options.fl_mean, options.fl_sd)
     for r in seen:
         lengths[r["len"]] += r["mass"]
-    aux = AuxModel(lengths, order=options.bias_order)
+    least = paired.filter(F.col("_mass") > 0).agg(F.min("frag_len")).first()[0]
+    aux = AuxModel(lengths, order=options.bias_order, min_len=max(1, int(least or 1)))
     if options.errors:
         reads = cut(aligned_reads(rows, targets))
         events = base_events(reads, ["mate", "_mass"], F.col("read"), F.col("ref"), F.col("blocks"))
@@ -118,7 +119,7 @@ def relearn_background(
 
 def sized_targets(spark: SparkSession, targets: DataFrame, aux: AuxModel, options: Options) -> DataFrame:
     """Add eff_len, bias included."""
-    rows = effective_length(targets, length_rows(spark, aux.lengths), len(aux.lengths) - 1)
+    rows = effective_length(targets, length_rows(spark, aux.lengths, aux.min_len), len(aux.lengths) - 1)
     if not (options.bias and aux.bias):
         return rows.withColumn("avg_bias", F.lit(1.0))
     rows = target_bias(rows, aux.bias, aux.order).drop("start_bias", "end_bias")

@@ -23,6 +23,7 @@ class AuxModel:
     deletes: list[float] = field(default_factory=list)
     bias: dict[str, tuple[np.ndarray, np.ndarray]] = field(default_factory=dict)  # end -> log tables
     order: int = 3
+    min_len: int = 1  # smallest fragment length seen; 1 if none was
 
 
 def _row(values) -> str:

@@ -11,24 +11,15 @@ from apportion.operators.skew import lookup_join
 from apportion.plans.estimation import Estimation
 from apportion.plans.likelihood import aligned_reads, mismatch_rows
 from apportion.session import cut
+from apportion.sources.params import AuxModel
 from apportion.sources.targets import read_fasta
 
 PSEUDO, REFERENCE = 0.001, 2.0  # fixed starting masses: every base, and the reference base on top
 
 
-def site_table(spark: SparkSession, fasta: str, est: Estimation) -> DataFrame:
-    """(name, position, ref_nuc, p_value, depth, est_0..3, obs_0..3, exp_0..3).
-
-    Observed: posterior-weighted read bases. Expected: posterior-weighted error model given
-    the reference context. Estimated: share of each true base given reads and error model.
-    All three are sums per site, combined before the shuffle.
-    """
-    model = est.aux[0]
-    if not model.mismatch:
-        raise ValueError("site differences need the error model")
-    seqs = read_fasta(spark, fasta).select("name", "seq")
-    targets = cut(est.targets.select("target_id", "name", "length").join(seqs, "name"))
-    rows = est.assigned.filter("p > 0").withColumn("_mass", F.col("p"))
+def _library_events(spark: SparkSession, rows: DataFrame, targets: DataFrame, model: AuxModel) -> DataFrame:
+    """One row per read base of a library: its site, the expected bases given the reference and
+    the likelihood of every true base."""
     reads = aligned_reads(rows, targets.select("target_id", "length", "seq"))
     where = reads.select("hit_id", "mate", "reversed", "_mass", "target_id", "slice_left", "slice_right", "read", "ref", "blocks")
     ids = ["mate", "reversed", "_mass", "target_id", "slice_left", "slice_right"]
@@ -51,6 +42,25 @@ def site_table(spark: SparkSession, fasta: str, est: Estimation) -> DataFrame:
     spread = ["target_id", "position"]
     events = lookup_join(events, given, ["mate", "pos", "prev_ref", "ref"], n // 4, spread)
     events = lookup_join(events, likely, ["mate", "pos", "prev", "cur"], n // 4, spread)
+    return events
+
+
+def site_table(spark: SparkSession, fasta: str, est: Estimation) -> DataFrame:
+    """(name, position, ref_nuc, p_value, depth, est_0..3, obs_0..3, exp_0..3).
+
+    Observed: posterior-weighted read bases. Expected: posterior-weighted error model given
+    the reference context. Estimated: share of each true base given reads and error model.
+    All three are sums per site, combined before the shuffle.
+    """
+    if not all(model.mismatch for model in est.aux):
+        raise ValueError("site differences need the error model")
+    seqs = read_fasta(spark, fasta).select("name", "seq")
+    targets = cut(est.targets.select("target_id", "name", "length").join(seqs, "name"))
+    rows = est.assigned.filter("p > 0").withColumn("_mass", F.col("p"))
+    events = None
+    for i, model in enumerate(est.aux):  # every library's reads meet their own error model
+        part = _library_events(spark, rows.filter(F.col("library_id") == i), targets, model)
+        events = part if events is None else events.unionByName(part)
     start = lambda i: F.lit(PSEUDO) + F.when(F.col("ref") == i, REFERENCE).otherwise(0.0)
     joint = [start(i) * F.get("_like", F.lit(i)) for i in range(4)]
     total = joint[0] + joint[1] + joint[2] + joint[3]

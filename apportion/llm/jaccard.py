@@ -1,11 +1,11 @@
 """N-gram Jaccard join by parity sketches.
 
-A text is the set of its word shingles. Every shingle toggles one bit of a sketch, so the
-sketch of two sets' symmetric difference is the XOR of their sketches, and the Hamming
-distance of two sketches is never more than the symmetric difference. Two sets of a size
-band that are similar enough differ in at most D shingles; with the sketch cut into more than
-D blocks, at least one block of the two is the same (pigeonhole). Blocks are join keys. What
-meets in a block is tested by the Hamming bound over a longer sketch, then exactly.
+A text is the set of its word shingles. XOR of the shingles' hashes is a sketch: that of two
+sets' symmetric difference is the XOR of their sketches. Two sets of a size band that are
+similar enough differ in at most D shingles; with the shingles dealt to more than D blocks, at
+least one block of the two is the same (pigeonhole). Its 64-bit sketch is the join key. What
+meets in a block is tested by sketches in which every shingle toggles a single bit, whose
+Hamming distance is never more than the symmetric difference, and then exactly.
 
 Defined results: a text that is null or has no word has no shingle, no class and is linked with
 nothing (its component is its own id); a text with fewer words than a shingle has one shingle;
@@ -25,20 +25,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from apportion.llm.langid import fresh
 from apportion.llm.words import chunks, lists, mix, rolling, signed, text_bytes, word_hashes
 from apportion.operators.graph import connected_components
 from apportion.operators.skew import lookup_join
-from apportion.session import cut, fits_broadcast, hinted
+from apportion.session import cut, hinted
 
 STEP = 1.25  # width of a size band
+FOLD = 8  # times that the short sketch, which tells unrelated sets apart, is shorter
 
 
 class Bands:
     """Size bands of a similarity of num / den or more, as integer arithmetic.
 
     The smaller of two similar sets lies in band k and the larger one has at most reach(k)
-    elements; they differ in at most diff(k). Blocks go beyond that by a few, so that blocks
-    without any shingle need not be keys: they say little and all look alike.
+    elements; they differ in at most diff(k). Blocks go beyond that by some, so that weak blocks,
+    those of at most one shingle, need not be keys: many texts share them by chance.
     """
 
     def __init__(self, num: int, den: int):
@@ -58,9 +60,16 @@ class Bands:
 
     @cache
     def blocks(self, k: int) -> tuple[int, int]:
-        """Number of blocks of band k and how many of them may be left out if empty."""
+        """Number of blocks of band k and how many of them may be left out if weak.
+
+        Similar sets agree in more blocks than are spare, so in one that neither leaves out.
+        """
         least = self.diff(k) + 1
-        spare = 0 if least == 1 else int(1.5 * least * np.exp(-self.low[k] / least)) + 1
+        spare = 0
+        for _ in range(8 if least > 1 else 0):
+            load = self.low[k] / (least + spare)
+            weak = (least + spare) * np.exp(-load) * (1 + load)
+            spare = min(least, int(weak + 3 * np.sqrt(weak)) + 1)
         return least + spare, spare
 
     def of(self, n: int) -> list[int]:
@@ -72,8 +81,9 @@ class Bands:
         return out
 
     def bits(self, n: int) -> int:
-        """Length of the longer sketch: a power of two, eight times the possible difference."""
-        return 1 << max(7, int(8 * max(1, 2 * n * (self.den - self.num) // self.num) - 1).bit_length() - 1)
+        """Length of the long sketch: a power of two, 32 to 64 times the possible difference of
+        sets of this size, so that few bits meet and the bound is within some hundredths."""
+        return 1 << max(9, int(64 * max(1, 2 * n * (self.den - self.num) // (self.den + self.num))).bit_length() - 1)
 
 
 def shingle_sets(texts: list[bytes], n: int) -> Iterator[np.ndarray]:
@@ -98,18 +108,25 @@ def parity(s: np.ndarray, bits: int) -> np.ndarray:
     return signed(np.packbits(ones.astype(np.uint8), bitorder="little").view(np.uint64))
 
 
+def folded(sketch: np.ndarray, times: int = FOLD) -> np.ndarray:
+    """The parity sketch of an 1 / times of the length: parts on top of each other."""
+    return np.bitwise_xor.reduce(sketch.reshape(times, -1), axis=0)
+
+
 def block_keys(s: np.ndarray, bands: Bands) -> np.ndarray:
-    """Join keys of a set: the non-empty blocks of its sketch in each of its bands."""
+    """Join keys of a set: the blocks of its sketch in each of its bands, without the weak ones
+    if there are no more of them than are spare."""
     out = []
     for k in bands.of(len(s)):
         m, spare = bands.blocks(k)
+        # The sets are sorted, and so are their blocks.
         block = (((s >> np.uint64(32)) * np.uint64(m)) >> np.uint64(32)).astype(np.int64)
-        bit = (s & np.uint64(63)).astype(np.int64)
-        ones = np.bincount(block * 64 + bit, minlength=64 * m) & 1
-        sketch = np.packbits(ones.astype(np.uint8), bitorder="little").view(np.uint64)
+        load = np.bincount(block, minlength=m)
+        sketch = np.zeros(m, dtype=np.uint64)
+        sketch[load > 0] = np.bitwise_xor.reduceat(mix(s), np.concatenate(([0], np.cumsum(load)))[:-1][load > 0])
         keys = mix(sketch ^ mix(np.arange(m, dtype=np.uint64) + np.uint64(k << 40)))
-        full = np.bincount(block, minlength=m) > 0
-        out.append(keys[full] if m - full.sum() <= spare else keys)
+        strong = load > 1
+        out.append(keys[strong] if m - strong.sum() <= spare else keys)
     return signed(np.concatenate(out))
 
 
@@ -118,6 +135,7 @@ PARTS = T.StructType(
         T.StructField("n", T.LongType()),
         T.StructField("class", T.LongType()),
         T.StructField("sketch", T.ArrayType(T.LongType())),
+        T.StructField("short", T.ArrayType(T.LongType())),
         T.StructField("keys", T.ArrayType(T.LongType())),
         T.StructField("near_keys", T.ArrayType(T.LongType())),
         T.StructField("near", T.ArrayType(T.LongType())),
@@ -133,11 +151,11 @@ def _sketched(ids: pa.Field, n: int, bands: Bands):
     near. So a group of copies gives each key once for each batch, however large it is.
     """
     i64 = pa.list_(pa.int64())
-    schema = pa.schema([ids, ("n", pa.int64()), ("class", pa.int64()), ("sketch", i64), ("keys", i64), ("near_keys", i64), ("near", i64)])
+    schema = pa.schema([ids, ("n", pa.int64()), ("class", pa.int64()), ("sketch", i64), ("short", i64), ("keys", i64), ("near_keys", i64), ("near", i64)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, classes, sketches, keys, seen = [], [], [], [], set()
+            sizes, classes, sketches, short, keys, seen = [], [], [], [], [], set()
             for s in shingle_sets(text_bytes(batch.column(1)), n):
                 c = set_class(s)
                 fresh = c is not None and c not in seen
@@ -145,6 +163,7 @@ def _sketched(ids: pa.Field, n: int, bands: Bands):
                 sizes.append(len(s))
                 classes.append(c)
                 sketches.append(parity(s, bands.bits(len(s))) if fresh else None)
+                short.append(folded(sketches[-1]) if fresh else None)
                 keys.append(block_keys(s, bands) if fresh else None)
             owner = np.repeat(np.arange(len(keys)), [0 if k is None else len(k) for k in keys])
             flat = np.concatenate([k for k in keys if k is not None] or [np.empty(0, np.int64)])
@@ -163,6 +182,7 @@ def _sketched(ids: pa.Field, n: int, bands: Bands):
                     pa.array(sizes, pa.int64()),
                     pa.array(classes, pa.int64()),
                     lists(sketches, pa.int64()),
+                    lists(short, pa.int64()),
                     lists(split(flat, ~rest), pa.int64()),
                     lists(split(flat, rest), pa.int64()),
                     lists(split(order[owner[head]], rest), pa.int64()),
@@ -179,17 +199,17 @@ def arrow_field(df: DataFrame, name: str) -> pa.Field:
     return pa.field(name, to_arrow_type(df.schema[name].dataType))
 
 
-def _hamming_ok(bands: Bands, a: str, b: str):
+def _hamming_ok(bands: Bands, a: str, b: str, sketch: str = "sketch"):
     """Whether the sketches of a and b leave room for the wanted similarity. A longer sketch is
     folded to the length of the shorter one first, which keeps it a parity sketch."""
-    x, y = F.col(f"{a}.sketch"), F.col(f"{b}.sketch")
+    x, y = F.col(f"{a}.{sketch}"), F.col(f"{b}.{sketch}")
 
-    def folded(long, short):
+    def as_short(long, short):
         half = F.size(long) / 2
         pair = F.zip_with(F.slice(long, 1, half.cast("int")), F.slice(long, half.cast("int") + 1, half.cast("int")), lambda p, q: p.bitwiseXOR(q))
         return F.when(F.size(long) > F.size(short), pair).otherwise(long)
 
-    bits = F.aggregate(F.zip_with(folded(x, y), folded(y, x), lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, v: s + v)
+    bits = F.aggregate(F.zip_with(as_short(x, y), as_short(y, x), lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, v: s + v)
     low, high = F.least(f"{a}.n", f"{b}.n"), F.greatest(f"{a}.n", f"{b}.n")
     fits = low * bands.den >= high * bands.num
     return F.when(fits, bits * (bands.den + bands.num) <= (low + high) * (bands.den - bands.num)).otherwise(False)
@@ -223,6 +243,11 @@ def _class_of(n: int):
     return run
 
 
+def _ordered(met: DataFrame) -> DataFrame:
+    """Pairs (low, high) of (class, center), each once."""
+    return met.select(F.least("class", "center").alias("low"), F.greatest("class", "center").alias("high")).distinct()
+
+
 def _near(a: DataFrame, b: DataFrame, keys: list[str], rows: int, how: str = "inner") -> DataFrame:
     """Join with a table of counted rows, which is broadcast if small enough."""
     return a.join(hinted(b, rows, 32), keys, how)
@@ -270,50 +295,81 @@ class JaccardJoin:
     def groups(self) -> DataFrame:
         """(class, component) of all classes that meet others; component is a class.
 
-        First every class is tested against one class it meets. That joins groups of near
-        copies without their pairs. What still meets across components is then tested pair by
-        pair, so no link that would join two components is missed.
+        First every class is tested against one class it meets, then against the centers of all
+        its blocks that are still in another component. That joins groups of near copies without
+        their pairs. What still meets across components is then tested pair by pair, so no link
+        that would join two components is missed.
         """
-        sketches = self.parts.filter("sketch is not null").select("class", "n", "sketch")
         members = self._members()
         met = cut(members.filter("class <> center").groupBy("class", "center").count())
         need = cut(met.select(F.explode(F.array("class", "center")).alias("class")).distinct())
         size = need.count()
-        known = cut(_near(sketches, need, ["class"], size, "left_semi").dropDuplicates(["class"]))
-        a, b = known.alias("a"), known.alias("b")
-        stars = met.join(a, met["class"] == F.col("a.class")).join(b, F.col("center") == F.col("b.class"))
-        stars = stars.filter(_hamming_ok(self.bands, "a", "b")).groupBy("a.class").agg(F.max_by(F.col("center"), F.struct("count", "center")).alias("center"))
-        first = cut(stars.select(F.least("class", "center").alias("low"), F.greatest("class", "center").alias("high")).distinct())
-        links = self._verified(first)
         nodes = need.select(F.col("class").alias("node"))
-        label = connected_components(links, nodes).select(F.col("node").alias("class"), "component")
+
+        def labelled(links: DataFrame) -> DataFrame:
+            return connected_components(links, nodes).select(F.col("node").alias("class"), "component")
+
+        best = met.groupBy("class").agg(F.max_by("center", F.struct("count", "center")).alias("center"))
+        tested = self._possible(_ordered(best))
+        links = self._verified(tested)
+        label = labelled(links)
+        more = self._apart(_ordered(met), label, size)
+        more = self._possible(more.join(tested, ["low", "high"], "left_anti"))
+        if more.limit(1).count():
+            tested = tested.union(more)
+            links = links.union(self._verified(more))
+            label = labelled(links)
 
         placed = cut(lookup_join(members.select("key", "class").distinct(), label, ["class"], size, ["key"], row_bytes=16))
         open_keys = cut(placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("key"))
         n_open = open_keys.count()
         if not n_open:
             return label
-        rest = _near(placed, open_keys, ["key"], n_open, "left_semi")
+        rest = cut(_near(placed, open_keys, ["key"], n_open, "left_semi"))
+        known = self._sketches(rest.select("class").distinct(), "short")
         rest = cut(lookup_join(rest, known, ["class"], size, ["key"], row_bytes=512))
         a, b = rest.alias("a"), rest.alias("b")
         apart = (F.col("a.key") == F.col("b.key")) & (F.col("a.component") < F.col("b.component"))
-        across = a.join(b, apart & _hamming_ok(self.bands, "a", "b"))
+        across = a.join(b, apart & _hamming_ok(self.bands, "a", "b", "short"))
         pairs = across.select(F.least("a.class", "b.class").alias("low"), F.greatest("a.class", "b.class").alias("high")).distinct()
-        pairs = cut(pairs.join(first, ["low", "high"], "left_anti"))
-        if not pairs.limit(1).count():
-            return label
-        links = links.union(self._verified(pairs))
-        return connected_components(links, nodes).select(F.col("node").alias("class"), "component")
+        pairs = self._possible(pairs.join(tested, ["low", "high"], "left_anti"))
+        return labelled(links.union(self._verified(pairs))) if pairs.limit(1).count() else label
+
+    def _sketches(self, classes: DataFrame, sketch: str) -> DataFrame:
+        """(class, n, sketch) of distinct classes."""
+        classes = cut(classes)
+        own = self.parts.filter(F.col(sketch).isNotNull()).select("class", "n", sketch)
+        return cut(_near(own, classes, ["class"], classes.count(), "left_semi").dropDuplicates(["class"]))
+
+    def _possible(self, pairs: DataFrame) -> DataFrame:
+        """Those of the pairs (low, high) that the long sketches leave room for."""
+        pairs = cut(pairs)
+        known = self._sketches(pairs.select(F.explode(F.array("low", "high")).alias("class")).distinct(), "sketch")
+        size = known.count()
+        out = pairs
+        for end in ("low", "high"):
+            own = known.select(F.col("class").alias(end), F.struct("n", "sketch").alias(f"{end}_set"))
+            out = lookup_join(out, own, [end], size, ["low" if end == "high" else "high"], row_bytes=2048)
+        return cut(out.filter(_hamming_ok(self.bands, "low_set", "high_set")).select("low", "high"))
+
+    @staticmethod
+    def _apart(pairs: DataFrame, label: DataFrame, rows: int) -> DataFrame:
+        """Pairs (low, high) of classes that are in different components."""
+        for end in ("low", "high"):
+            own = label.select(F.col("class").alias(end), F.col("component").alias(f"{end}_in"))
+            pairs = lookup_join(pairs, own, [end], rows, ["low" if end == "high" else "high"], row_bytes=16)
+        return pairs.filter("low_in <> high_in").select("low", "high")
 
     def rows(self) -> DataFrame:
-        """(id, n_shingles, class, component_id) of every row of the table."""
+        """(id, n_shingles, class, component, component_id) of every row of the table; component
+        is one of the linked classes, so that it tells groups apart also where ids repeat."""
         groups = self.groups()
         own = self.parts.select("id", "n", "class")
         own = lookup_join(own, groups, ["class"], groups.count(), ["id"], how="left", row_bytes=16)
         own = cut(own.withColumn("component", F.coalesce("component", "class")))
         names = cut(own.filter("component is not null").groupBy("component").agg(F.min("id").alias("name")))
         named = lookup_join(own, names, ["component"], names.count(), ["id"], how="left", row_bytes=16)
-        return named.select("id", F.col("n").alias("n_shingles"), "class", F.when(F.col("n") > 0, F.col("name")).otherwise(F.col("id")).alias("component_id"))
+        return named.select("id", F.col("n").alias("n_shingles"), "class", "component", F.when(F.col("n") > 0, F.col("name")).otherwise(F.col("id")).alias("component_id"))
 
 
 def _by(key: str):
@@ -324,8 +380,8 @@ def _by(key: str):
 
 def jaccard_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, num: int = 4, den: int = 5) -> DataFrame:
     """One row for each row of df: id_col, n_shingles, class (fingerprint of the shingle set,
-    the same for copies) and component_id, the smallest id reachable by links of a Jaccard
-    similarity of num / den or more."""
+    the same for copies), component (one class of the linked ones) and component_id, the smallest
+    id reachable by links of a Jaccard similarity of num / den or more."""
     rows = JaccardJoin(df, id_col, text_col, n, num, den).rows()
     return rows.withColumnRenamed("id", id_col)
 
@@ -338,28 +394,27 @@ def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str =
     no harm.
     """
     own = cut(jaccard_groups(df, id_col, text_col, n, num, den))
-    own = own.select(F.col(id_col).alias("_id"), F.col("class").alias("_class"), F.col("component_id").alias("_component"))
+    own = own.select(F.col(id_col).alias("_id"), F.col("class").alias("_class"), F.col("component").alias("_component"))
     own = own.filter("_class is not null")
-    # A component without any id has a null name: its rows are told apart by class alone.
     lead = own.groupBy("_component").agg(F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_class")).alias("lead"))
     counts = own.groupBy("_id", "_class", "_component").agg(F.count(F.lit(1)).alias("times"))
     lead = lead.select(F.col("_component").alias("_to"), F.col("lead._class").alias("lead_class"), F.col("lead._id").alias("lead_id"))
-    judged = counts.join(lead, F.col("_component").eqNullSafe(F.col("_to")))
+    judged = counts.join(lead, F.col("_component") == F.col("_to"))
     stays = F.col("_id").eqNullSafe(F.col("lead_id")) & (F.col("_class") == F.col("lead_class"))
     judged = cut(judged.select("_id", "_class", stays.alias("stays"), "times").filter("not stays or times > 1"))
     n_judged = judged.count()
     if not n_judged:
         return df
-    marked = df.withColumn("_class", _class_column(n)(F.col(text_col).cast("string")))
-    j = judged.alias("j")
-    j = F.broadcast(j) if fits_broadcast(df.sparkSession, n_judged, 48) else j
-    on = (marked["_class"] == F.col("j._class")) & marked[id_col].eqNullSafe(F.col("j._id"))
-    once = [marked[c] for c in df.columns]
-    single = marked.join(j, on, "left_anti").select(*once)
-    repeated = marked.join(j, on & F.col("j.stays"), "left_semi")
+    own, key, cls = (fresh(df, c) for c in ("own_class", "judged_id", "judged_class"))
+    marked = df.withColumn(own, _class_column(n)(F.col(text_col).cast("string")))
+    judged = judged.withColumnsRenamed({"_id": key, "_class": cls})
+    on = (F.col(own) == F.col(cls)) & F.col(id_col).eqNullSafe(F.col(key))
+    single = marked.join(hinted(judged.drop("stays", "times"), n_judged, 48), on, "left_anti").drop(own)
+    again = judged.filter("stays").drop("stays", "times")
+    repeated = marked.join(hinted(again, n_judged, 48), on, "left_semi")
     # One of the repeated rows with the lead's id and class, by the order of the other columns.
     order = [c for c in df.columns if not isinstance(df.schema[c].dataType, (T.MapType, T.VariantType))]
-    one = repeated.groupBy("_class").agg(F.min_by(F.struct(*df.columns), F.struct(*order)).alias("row"))
+    one = repeated.groupBy(own).agg(F.min_by(F.struct(*df.columns), F.struct(*order)).alias("row"))
     return single.union(one.select("row.*"))
 
 

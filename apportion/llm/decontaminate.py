@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from apportion.llm.jaccard import arrow_field
+from apportion.llm.langid import fresh
 from apportion.llm.words import chunks, lists, mix, signed, word_hashes
 from apportion.session import cut, hinted
 
@@ -197,11 +198,12 @@ def contaminated(
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the rows that overlap the benchmark; columns are those of docs."""
-    bad = cut(contaminated(docs, benchmark, id_col, text_col).select(F.col(id_col).alias("_id"), F.col("text_key").alias("_text_key")))
+    key, text_key = fresh(docs, "bad_id"), fresh(docs, "bad_text_key")
+    bad = cut(contaminated(docs, benchmark, id_col, text_col).select(F.col(id_col).alias(key), F.col("text_key").alias(text_key)))
     rows = bad.count()
     if not rows:
         return docs
-    on = docs[id_col].eqNullSafe(F.col("_id")) & (F.xxhash64(docs[text_col].cast("string")) == F.col("_text_key"))
+    on = F.col(id_col).eqNullSafe(F.col(key)) & (F.xxhash64(F.col(text_col).cast("string")) == F.col(text_key))
     return docs.join(hinted(bad, rows, 48), on, "left_anti")
 
 

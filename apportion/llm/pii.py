@@ -25,7 +25,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from apportion.llm.jaccard import arrow_field
-from apportion.session import cut, fits_broadcast, hinted
+from apportion.llm.langid import fresh
+from apportion.session import cut, hinted
 
 KINDS = ("email", "ip", "card", "phone")
 ROUNDS = 3
@@ -252,16 +253,14 @@ def _redacted(text: pa.Array, added: pa.Array) -> pa.Array:
 def redact(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:
     """df with every span replaced by its kind in angle brackets; chars_col, if df has it, is the
     new length where the text changed. Columns and rows are those of df."""
-    from apportion.llm.langid import fresh
-
+    spans, new, key, text_key = (fresh(df, c) for c in ("added_spans", "clean_text", "found_id", "found_text_key"))
     more = find(df, id_col, text_col).filter(F.size("added") > 0)
-    more = cut(more.groupBy(id_col, "text_key").agg(F.first("added").alias("_added")).withColumnRenamed(id_col, "_id").withColumnRenamed("text_key", "_key"))
+    more = more.select(F.col(id_col).alias(key), F.col("text_key").alias(text_key), "added")
+    more = cut(more.groupBy(key, text_key).agg(F.min("added").alias(spans)))
     rows = more.count()
-    spans, new = fresh(df, "added_spans"), fresh(df, "clean_text")
     if rows:
-        m = F.broadcast(more) if fits_broadcast(df.sparkSession, rows, 512) else more
-        on = df[id_col].eqNullSafe(F.col("_id")) & (F.xxhash64(df[text_col].cast("string")) == F.col("_key"))
-        df = df.join(m, on, "left").drop("_id", "_key").withColumnRenamed("_added", spans)
+        on = F.col(id_col).eqNullSafe(F.col(key)) & (F.xxhash64(F.col(text_col).cast("string")) == F.col(text_key))
+        df = df.join(hinted(more, rows, 512), on, "left").drop(key, text_key)
     else:
         df = df.withColumn(spans, F.array().cast(_SPAN))
     clean = F.arrow_udf(_redacted, "string")

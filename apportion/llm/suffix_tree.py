@@ -37,6 +37,7 @@ P_MIN = 2e-6  # share of all tokens from which a sequence can be a context or a
 HEAD = 2.5e-7  # share from which a word's count is sent to the tasks: at most 1 / HEAD words
 DEPTH = 2  # words in the longest context
 SPREAD = 4.0  # standard deviations by which a context's divergence must exceed chance
+TALLY = 1 << 21  # values that a task adds up at a time
 END = np.int64(1)  # the token after the last word; word hashes are spread over 64 bits
 
 
@@ -54,11 +55,27 @@ def token_hashes(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield out, np.concatenate(([0], ends + 1))
 
 
+def _tallies(parts: Iterator[np.ndarray], name: str) -> Iterator[pa.RecordBatch]:
+    """(name, n) of the values in parts, added up over stretches of about TALLY values, so that a
+    task's memory does not depend on its batch."""
+    wait, size = [], 0
+
+    def added() -> pa.RecordBatch:
+        keys, n = np.unique(np.concatenate(wait), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(n, pa.int64())], names=[name, "n"])
+
+    for part in parts:
+        wait.append(part)
+        size += len(part)
+        if size >= TALLY:
+            yield added()
+            wait, size = [], 0
+    if wait:
+        yield added()
+
+
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        parts = [h for h, _ in token_hashes(text_bytes(batch.column(0)))]
-        words, n = np.unique(np.concatenate(parts), return_counts=True) if parts else (np.empty(0, np.int64),) * 2
-        yield pa.RecordBatch.from_arrays([pa.array(words, pa.int64()), pa.array(n, pa.int64())], names=["word", "n"])
+    return _tallies((h for batch in batches for h, _ in token_hashes(text_bytes(batch.column(0)))), "word")
 
 
 @dataclass
@@ -122,17 +139,18 @@ def _sequence_counts(shared):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tree = shared.value
-        for batch in batches:
-            parts = []
-            for hashes, border in token_hashes(text_bytes(batch.column(0))):
-                numbers = tree.frequent(tree.place(hashes))
-                inner = np.ones(len(hashes), dtype=bool)
-                inner[border[:-1]] = False
-                *_, last = tree.longer(numbers, inner)
-                keys = tree.extended(last, numbers, inner)
-                parts.append(keys[keys >= 0])
-            keys, n = np.unique(np.concatenate(parts), return_counts=True) if parts else (np.empty(0, np.int64),) * 2
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(n, pa.int64())], names=["key", "n"])
+
+        def keys() -> Iterator[np.ndarray]:
+            for batch in batches:
+                for hashes, border in token_hashes(text_bytes(batch.column(0))):
+                    numbers = tree.frequent(tree.place(hashes))
+                    inner = np.ones(len(hashes), dtype=bool)
+                    inner[border[:-1]] = False
+                    *_, last = tree.longer(numbers, inner)
+                    found = tree.extended(last, numbers, inner)
+                    yield found[found >= 0]
+
+        return _tallies(keys(), "key")
 
     return run
 

@@ -32,6 +32,7 @@ from apportion.operators.skew import lookup_join
 from apportion.session import cut, hinted
 
 STEP = 1.25  # width of a size band
+PART = 8 << 20  # bytes of text sketched together
 FOLD = 8  # times that the short sketch, which tells unrelated sets apart, is shorter
 
 
@@ -146,49 +147,54 @@ PARTS = T.StructType(
 def _sketched(ids: pa.Field, n: int, bands: Bands):
     """Rows of (id, text) to (id, PARTS).
 
-    Of equal sets in a batch only the first has a sketch and keys. Of equal keys in a batch the
-    first stays in keys; the others go to near_keys, with the class that has the first one in
-    near. So a group of copies gives each key once for each batch, however large it is.
+    Of equal sets in a stretch of PART bytes only the first has a sketch and keys. Of equal keys
+    the first stays in keys; the others go to near_keys, with the class that has the first one in
+    near. So a group of copies gives each key once for each stretch, however large it is.
     """
     i64 = pa.list_(pa.int64())
     schema = pa.schema([ids, ("n", pa.int64()), ("class", pa.int64()), ("sketch", i64), ("short", i64), ("keys", i64), ("near_keys", i64), ("near", i64)])
 
+    def part(ids: pa.Array, texts: list[bytes]) -> pa.RecordBatch:
+        sizes, classes, sketches, short, keys, seen = [], [], [], [], [], set()
+        for s in shingle_sets(texts, n):
+            c = set_class(s)
+            fresh = c is not None and c not in seen
+            seen.add(c)
+            sizes.append(len(s))
+            classes.append(c)
+            sketches.append(parity(s, bands.bits(len(s))) if fresh else None)
+            short.append(folded(sketches[-1]) if fresh else None)
+            keys.append(block_keys(s, bands) if fresh else None)
+        owner = np.repeat(np.arange(len(keys)), [0 if k is None else len(k) for k in keys])
+        flat = np.concatenate([k for k in keys if k is not None] or [np.empty(0, np.int64)])
+        _, first, back = np.unique(flat, return_index=True, return_inverse=True)
+        head = first[back]
+        rest = head != np.arange(len(flat))
+        order = np.array([c or 0 for c in classes], dtype=np.int64)
+
+        def split(values: np.ndarray, mask: np.ndarray) -> list[np.ndarray]:
+            counts = np.bincount(owner[mask], minlength=len(keys))
+            return np.split(values[mask], np.cumsum(counts)[:-1]) if len(keys) else []
+
+        return pa.RecordBatch.from_arrays(
+            [
+                ids,
+                pa.array(sizes, pa.int64()),
+                pa.array(classes, pa.int64()),
+                lists(sketches, pa.int64()),
+                lists(short, pa.int64()),
+                lists(split(flat, ~rest), pa.int64()),
+                lists(split(flat, rest), pa.int64()),
+                lists(split(order[owner[head]], rest), pa.int64()),
+            ],
+            schema=schema,
+        )
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, classes, sketches, short, keys, seen = [], [], [], [], [], set()
-            for s in shingle_sets(text_bytes(batch.column(1)), n):
-                c = set_class(s)
-                fresh = c is not None and c not in seen
-                seen.add(c)
-                sizes.append(len(s))
-                classes.append(c)
-                sketches.append(parity(s, bands.bits(len(s))) if fresh else None)
-                short.append(folded(sketches[-1]) if fresh else None)
-                keys.append(block_keys(s, bands) if fresh else None)
-            owner = np.repeat(np.arange(len(keys)), [0 if k is None else len(k) for k in keys])
-            flat = np.concatenate([k for k in keys if k is not None] or [np.empty(0, np.int64)])
-            _, first, back = np.unique(flat, return_index=True, return_inverse=True)
-            head = first[back]
-            rest = head != np.arange(len(flat))
-            order = np.array([c or 0 for c in classes], dtype=np.int64)
-
-            def split(values: np.ndarray, mask: np.ndarray) -> list[np.ndarray]:
-                counts = np.bincount(owner[mask], minlength=len(keys))
-                return np.split(values[mask], np.cumsum(counts)[:-1]) if len(keys) else []
-
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0),
-                    pa.array(sizes, pa.int64()),
-                    pa.array(classes, pa.int64()),
-                    lists(sketches, pa.int64()),
-                    lists(short, pa.int64()),
-                    lists(split(flat, ~rest), pa.int64()),
-                    lists(split(flat, rest), pa.int64()),
-                    lists(split(order[owner[head]], rest), pa.int64()),
-                ],
-                schema=schema,
-            )
+            texts = text_bytes(batch.column(1))
+            for lo, hi in chunks(texts, PART):
+                yield part(batch.column(0).slice(lo, hi - lo), texts[lo:hi])
 
     return run
 
@@ -243,6 +249,11 @@ def _class_of(n: int):
     return run
 
 
+def _ends(pairs: DataFrame, a: str, b: str) -> DataFrame:
+    """Distinct classes of two columns."""
+    return pairs.select(F.col(a).alias("class")).distinct().union(pairs.select(F.col(b).alias("class")).distinct()).distinct()
+
+
 def _ordered(met: DataFrame) -> DataFrame:
     """Pairs (low, high) of (class, center), each once."""
     return met.select(F.least("class", "center").alias("low"), F.greatest("class", "center").alias("high")).distinct()
@@ -274,7 +285,7 @@ class JaccardJoin:
 
     def _texts(self, pairs: DataFrame) -> DataFrame:
         """(class, text) of every class in pairs, one text for each."""
-        need = cut(pairs.select(F.explode(F.array("low", "high")).alias("class")).distinct())
+        need = cut(_ends(pairs, "low", "high"))
         rows = need.count()
         ids = cut(_near(self.parts.select("id", "class"), need, ["class"], rows).groupBy("class").agg(F.min("id").alias("id")))
         # An id can name several rows, so the class is found anew from the text.
@@ -302,7 +313,7 @@ class JaccardJoin:
         """
         members = self._members()
         met = cut(members.filter("class <> center").groupBy("class", "center").count())
-        need = cut(met.select(F.explode(F.array("class", "center")).alias("class")).distinct())
+        need = cut(_ends(met, "class", "center"))
         size = need.count()
         nodes = need.select(F.col("class").alias("node"))
 
@@ -344,7 +355,7 @@ class JaccardJoin:
     def _possible(self, pairs: DataFrame) -> DataFrame:
         """Those of the pairs (low, high) that the long sketches leave room for."""
         pairs = cut(pairs)
-        known = self._sketches(pairs.select(F.explode(F.array("low", "high")).alias("class")).distinct(), "sketch")
+        known = self._sketches(_ends(pairs, "low", "high"), "sketch")
         size = known.count()
         out = pairs
         for end in ("low", "high"):

@@ -126,9 +126,8 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     # The ids are chosen before any text is read, and a repeated id teaches once.
     chosen = [known.filter(F.col("label") == v).orderBy(F.xxhash64("_id"), "_id").limit(PER_LABEL) for v in (1, 0)]
     chosen = cut(chosen[0].union(chosen[1]))
-    text = docs[text_col].cast("string")
-    rows = docs.filter(text.isNotNull()).join(hinted(chosen, chosen.count(), 24), docs[id_col] == F.col("_id"))
-    rows = rows.groupBy("_id", "label").agg(F.min_by(text, F.xxhash64(text)).alias("text"))
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("text")).filter("text is not null")
+    rows = rows.join(hinted(chosen, chosen.count(), 24), "_id").groupBy("_id", "label").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
     sample = cut(rows.select("label", F.pmod(F.xxhash64("_id"), F.lit(2)).alias("building"), "text"))
     got = sample.filter("building = 1").mapInArrow(_pieces, "label int, building long, piece binary").toArrow()
     label = np.array(got["label"].to_pylist(), dtype=int)

@@ -5,8 +5,8 @@ rate for each document, never negative, is fitted by projected-gradient least sq
 expected tokens of each domain, summed over rate * tokens * posterior, meet the targets. All work
 is DataFrame expressions and aggregates; the driver sees a few numbers for each step.
 
-Defined results: null and empty texts have no words, so only the prior and the style marks speak
-for them, and they get a rate like others; rows with equal id and text are rows of their own with
+Defined results: null and empty texts have no words, so only the prior and their size speak for
+them, and they get a rate like others; rows with equal id and text are rows of their own with
 equal rates; a null id is kept; a target for a domain that no labelled row shows is shared out
 among the others; without labelled rows there is one domain and all rates are equal. Labels of a
 repeated id count once, the smallest quality and largest toxicity.
@@ -19,6 +19,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from apportion.llm.langid import fresh
 from apportion.session import cut, hinted
 
 DOMAINS = ("clean", "low_quality", "toxic")
@@ -31,29 +32,20 @@ STEPS, CLOSE, CUT_EVERY = 60, 1e-3, 10
 BIAS = "\x01bias"  # marks begin with a control character, which words cannot contain here
 
 
-def _marks(text: Column, words: Column) -> Column:
-    """A text's distinct words and a few style marks, as the classifier's features."""
-    n = F.greatest(F.size(words), F.lit(1))
-    chars = F.greatest(F.length(text), F.lit(1))
-
-    def level(name: str, share: Column) -> Column:
-        return F.concat(F.lit(f"\x01{name}"), F.floor(F.least(F.greatest(share, F.lit(0.0)), F.lit(1.0)) * 20).cast("string"))
-
-    symbols = chars - F.length(F.translate(text, "#*$%&|<>!", ""))
-    upper = F.levenshtein(F.substring(text, 1, 200), F.lower(F.substring(text, 1, 200))) / F.least(chars, F.lit(200))
-    distinct = F.size(F.array_distinct(words)) / n
-    size = F.concat(F.lit("\x01size"), F.floor(F.log2(n)).cast("string"))
-    marks = F.array(F.lit(BIAS), size, level("symbols", symbols / chars), level("upper", upper), level("distinct", distinct))
-    return F.array_union(marks, words)
-
-
 def features(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, text_key, n_tokens, marks) of every row."""
+    """(id, text_key, n_tokens, marks) of every row. Marks are the distinct words as written, so
+    that letter case and attached symbols tell as well, the text's size and its share of distinct
+    words, and the bias."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("text_key"), text.alias("text"))
-    words = F.filter(F.split(F.lower("text"), "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
-    rows = rows.withColumn("words", words)
-    return rows.select("id", "text_key", F.size("words").cast("long").alias("n_tokens"), _marks(F.col("text"), F.col("words")).alias("marks"))
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("text_key"), F.split(text, "[\\x20\\x09-\\x0D]+").alias("words"))
+    # White space at either end leaves an empty word there.
+    empty = [F.when(F.get("words", at) == "", 1).otherwise(0) for at in (F.lit(0), F.size("words") - 1)]
+    n = F.size("words") - empty[0] - F.when(F.size("words") > 1, empty[1]).otherwise(0)
+    rows = rows.select("id", "text_key", n.cast("long").alias("n_tokens"), F.array_distinct("words").alias("kinds"))
+    many = F.greatest(F.col("n_tokens"), F.lit(1))
+    size = F.concat(F.lit("\x01size"), F.floor(F.log2(many)).cast("string"))
+    fresh = F.concat(F.lit("\x01distinct"), F.floor(20 * F.size("kinds") / many).cast("string"))
+    return rows.select("id", "text_key", "n_tokens", F.concat(F.array(F.lit(BIAS), size, fresh), "kinds").alias("marks"))
 
 
 def domain(quality: Column, toxic: Column) -> Column:
@@ -66,8 +58,8 @@ def classifier(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str) -
     known = known.select("_id", domain(F.coalesce("q", F.lit(0)), F.coalesce("x", F.lit(0))).alias("domain"))
     # The ids are chosen before any text is read, and a repeated id teaches once.
     known = cut(known.orderBy(F.xxhash64("_id"), "_id").limit(LABELLED))
-    sample = docs.join(hinted(known, known.count(), 32), docs[id_col] == F.col("_id")).groupBy("_id", "domain")
-    sample = sample.agg(F.min_by(docs[text_col], F.xxhash64(docs[text_col].cast("string"))).alias(text_col)).withColumnRenamed("_id", id_col)
+    sample = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("text"))
+    sample = sample.join(hinted(known, known.count(), 32), "_id").groupBy("_id", "domain").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
     sample = cut(sample)
     totals = {r["domain"]: r["count"] for r in sample.groupBy("domain").count().collect()}
     domains = [d for d in DOMAINS if d in totals]
@@ -75,8 +67,8 @@ def classifier(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str) -
     if not domains:
         spark = docs.sparkSession
         return spark.range(1).select(F.lit(BIAS).alias("mark"), F.lit(0.0).alias("w0")), ["all"]
-    told = features(sample.select(F.col(id_col), F.col(text_col)), id_col, text_col)
-    told = told.join(sample.select(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("text_key"), "domain").distinct(), ["id", "text_key"])
+    told = features(sample, "_id", "text")
+    told = told.join(sample.select(F.col("_id").alias("id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"), "domain"), ["id", "text_key"])
     marks = told.select("domain", F.explode("marks").alias("mark"))
     counts = [F.sum((F.col("domain") == d).cast("double")).alias(f"c{i}") for i, d in enumerate(domains)]
     seen = marks.groupBy("mark").agg(*counts)
@@ -199,11 +191,10 @@ def mixed(
 
 def mix(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with rate and copies, without the rows that get no copy."""
-    from apportion.llm.langid import fresh
-
     plan, _ = mixed(docs, labels, id_col, text_col)
-    rate, copies = fresh(docs, "rate"), fresh(docs, "copies")
-    plan = cut(plan.filter("copies > 0").select(F.col("id").alias("_id"), F.col("text_key").alias("_key"), F.col("rate").alias(rate), F.col("copies").alias(copies)))
-    key = F.xxhash64(F.coalesce(docs[text_col].cast("string"), F.lit("")))
-    on = docs[id_col].eqNullSafe(F.col("_id")) & (key == F.col("_key"))
-    return docs.join(hinted(plan, plan.count(), 48), on).drop("_id", "_key")
+    rate, copies, key, text_key = (fresh(docs, c) for c in ("rate", "copies", "planned_id", "planned_text_key"))
+    plan = plan.filter("copies > 0").select(F.col("id").alias(key), F.col("text_key").alias(text_key), F.col("rate").alias(rate), F.col("copies").alias(copies))
+    plan = cut(plan)
+    own = F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+    on = F.col(id_col).eqNullSafe(F.col(key)) & (own == F.col(text_key))
+    return docs.join(hinted(plan, plan.count(), 48), on).drop(key, text_key)

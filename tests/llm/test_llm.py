@@ -462,3 +462,62 @@ def test_quotes(spark):
     columns = [d[0] for d in con.sql(quotes.SQL).description]
     assert Counter(tuple(r) for r in quotes.reply_order(df).select(*columns).collect()) == Counter(want)
     assert quotes.reply_order(df.limit(0)).count() == 0
+
+
+def test_suffix_tree_has_no_relative_threshold(spark, monkeypatch):
+    """Sequences below P_MIN and contexts of more than two words count, by a plain version."""
+    monkeypatch.setattr(suffix_tree, "P_MIN", 0.02)
+    rnd = random.Random(15)
+    words = vocabulary(32, "abcdef", 25)
+    rows = []
+    for i in range(120):
+        t = [rnd.choice(words) for _ in range(3)]
+        while len(t) < 80:  # the next word follows from the sum of the last three, mostly
+            sure = words[sum(words.index(x) % 2 for x in t[-3:]) * 5 % 25]
+            t.append(sure if rnd.random() < 0.6 else rnd.choice(words))
+        rows.append((i, " ".join(t), "en"))
+    docs = frame(spark, rows)
+    tree, tables = suffix_tree.fit(docs)
+    got = {r.doc_id: r.score for r in suffix_tree.score(docs, tree, tables).collect()}
+    texts = [[*t.split(" "), None] for _, t, _ in rows]
+    counts = [Counter(tuple(t[i : i + k]) for t in texts for i in range(len(t) - k + 1)) for k in range(1, 9)]
+    c1 = Counter(counts[0].values())
+    d = c1[1] / (c1[1] + 2 * c1[2]) if c1[1] and c1[2] else 0.5
+    total = sum(counts[0].values())
+    p = {s: (n - d) / total for s, n in counts[0].items()}
+    contexts, passed = [], []
+    for k in range(1, 8):
+        after = {}
+        for s, n in counts[k].items():
+            if n >= 2:
+                after.setdefault(s[:-1], {})[s[-1]] = n
+        ok, new = set(), {}
+        for c, f in after.items():
+            of = counts[k - 1][c]
+            lower = {w: p[(*c[1:], w)] for w in f}
+            left, before = max(1 - sum(f.values()) / of, 1e-12), max(1 - sum(lower.values()), 1e-12)
+            gain = sum(n / of * math.log(n / of / lower[w]) for w, n in f.items()) + left * math.log(left / before)
+            good = 2 * of * gain > len(f) + 4 * math.sqrt(2 * len(f))
+            rest = max(1 - sum((n - d) / of for n in f.values()), 1e-12)
+            ok |= {c} if good else set()
+            new |= {(*c, w): (n - d) / of + rest * lower[w] if good else lower[w] for w, n in f.items()}
+        if not ok:
+            break
+        p |= new
+        contexts.append(after)
+        passed.append(ok)
+    assert len(passed) > 2 and tree.depth == len(passed) + 1
+    for k in range(len(passed) - 1, 0, -1):
+        passed[k - 1] |= {c[1:] for c in passed[k]}
+
+    def value(history, w):
+        x = (counts[0][(w,)] - d) / total
+        for k in range(1, min(len(history), len(passed)) + 1):
+            c = tuple(history[-k:])
+            if c in passed[k - 1]:
+                f, of = contexts[k - 1][c], counts[k - 1][c]
+                x = max(1 - sum((n - d) / of for n in f.values()), 1e-12) * x + (max(f[w] - d, 0) / of if w in f else 0)
+        return x
+
+    for i, t in enumerate(texts):
+        assert got[i] == pytest.approx(sum(math.log10(value(t[:j], w)) for j, w in enumerate(t)), abs=1e-6)

@@ -521,3 +521,18 @@ def test_suffix_tree_has_no_relative_threshold(spark, monkeypatch):
 
     for i, t in enumerate(texts):
         assert got[i] == pytest.approx(sum(math.log10(value(t[:j], w)) for j, w in enumerate(t)), abs=1e-6)
+
+
+def test_bands_keep_clean_texts_of_any_length(spark):
+    """Texts differ by topic, which does not average out in long ones."""
+    rnd = random.Random(16)
+    topics = [vocabulary(100 + i, "abcdefgh"[: 5 + i % 4], 60) for i in range(12)]
+    common = vocabulary(99, "abcdefgh", 200)
+    text = lambda i, n: prose(rnd, common + topics[i % 12] * 2, n)
+    rows = [(i, text(i, 120), "en") for i in range(120)]
+    long = [(1000 + i, text(5 * i, n), "en") for i, n in enumerate((1_200, 1_200, 1_200, 12_000, 12_000, 120_000))]
+    noise = "".join(chr(rnd.randint(33, 126)) if rnd.random() < 0.85 else " " for _ in range(90_000))
+    got = {r.doc_id: r.kept for r in perplexity.judge(frame(spark, [*rows, *long, (2000, noise, "en")])).collect()}
+    assert all(got[i] for i, *_ in long) and sum(got[i] for i, *_ in rows) >= 114 and not got[2000]
+    a2, b2 = perplexity.spread(np.sqrt(0.0004 + 0.3 / np.array([200.0, 2_000, 20_000])), 1 / np.array([200.0, 2_000, 20_000]), np.array([5.0, 50, 5]))
+    assert (a2, b2) == (pytest.approx(0.0004), pytest.approx(0.3))

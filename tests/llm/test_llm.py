@@ -536,3 +536,69 @@ def test_bands_keep_clean_texts_of_any_length(spark):
     assert all(got[i] for i, *_ in long) and sum(got[i] for i, *_ in rows) >= 114 and not got[2000]
     a2, b2 = perplexity.spread(np.sqrt(0.0004 + 0.3 / np.array([200.0, 2_000, 20_000])), 1 / np.array([200.0, 2_000, 20_000]), np.array([5.0, 50, 5]))
     assert (a2, b2) == (pytest.approx(0.0004), pytest.approx(0.3))
+
+
+def test_perplexity_sees_the_order_of_words(spark):
+    rnd = random.Random(17)
+    words = vocabulary(43, "abcdefgh", 80)
+
+    def clean(n):
+        out = [rnd.choice(words)]
+        while len(out) < n:
+            out.append(words[(words.index(out[-1]) * 7 + rnd.randrange(3)) % 80])
+        return out
+
+    texts = [clean(150) for _ in range(200)]
+    rows = [(i, " ".join(t), "en") for i, t in enumerate(texts)]
+    rows += [(1000 + i, " ".join(rnd.sample(texts[i], 150)), "en") for i in range(5)]
+    got = {r.doc_id: r for r in perplexity.judge(frame(spark, rows)).collect()}
+    assert all(got[1000 + i].log_ppl > 1.2 * got[i].log_ppl and not got[1000 + i].kept for i in range(5))
+    assert sum(r.low <= r.log_ppl <= r.high for r in got.values() if r.doc_id < 1000) >= 190
+
+
+def test_word_model_matches_a_plain_one(spark, monkeypatch):
+    """Modified Kneser-Ney over three words, with and without sequences sent to the tasks."""
+    rnd = random.Random(18)
+    words = vocabulary(44, "abcd", 12)
+    rows = [(i, prose(rnd, words, rnd.randint(1, 60)), "en") for i in range(40)]
+    docs = frame(spark, rows)
+    model = perplexity.train(docs)
+    spellings = sorted({w for _, t, _ in rows for w in t.split(" ")})
+    data, at, back, _ = perplexity.distinct_words([" ".join(spellings).encode()])
+    base = dict(zip(spellings, 10 ** (model.word_scores(data, at)[back, 0]) * (1 - 1 / 257), strict=True)) | {"</s>": 1 / 257}
+    half = lambda t: zlib.crc32(t.encode()) & 1
+    probability = []
+    for h in (0, 1):
+        three = Counter()
+        for _, t, _ in rows:
+            w = ["<s>", "<s>", *t.split(" "), "</s>"]
+            three.update(zip(w, w[1:], w[2:], strict=False) if half(t) == h else [])
+        two, one = Counter(), Counter()
+        for (u, v, w), n in three.items():
+            two[(v, w)] += n if u == v == "<s>" else 1
+        for _, w in two:
+            one[(w,)] += 1
+        counts = [one, two, three]
+        off = [perplexity._discounts(*(float(sum(x == i for x in c.values())) for i in (1, 2, 3, 4))) for c in counts]
+
+        def p(seq, counts=counts, off=off):
+            if not seq[1:]:
+                lower = base[seq[-1]]
+            else:
+                lower = p(seq[1:], counts, off)
+            c, d = counts[len(seq) - 1], off[len(seq) - 1]
+            own = {s: n for s, n in c.items() if s[:-1] == seq[:-1]}
+            if not own:
+                return lower
+            less = {s: max(n - d[min(n, 3)], 0) for s, n in own.items()}
+            total = sum(own.values())
+            return less.get(seq, 0) / total + max(1 - sum(less.values()) / total, 1e-9) * lower
+
+        probability.append(p)
+    for head in (2e-6, 0.02):
+        monkeypatch.setattr(perplexity, "HEAD", head)
+        got = {r.doc_id: r for r in perplexity.judge(docs).collect()}
+        for i, t, _ in rows:
+            w = ["<s>", "<s>", *t.split(" "), "</s>"]
+            want = -sum(math.log10(probability[1 - half(t)](s)) for s in zip(w, w[1:], w[2:], strict=False))
+            assert got[i].log_ppl == pytest.approx(want / (len(t) + 1), abs=1e-9)

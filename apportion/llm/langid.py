@@ -5,6 +5,10 @@ that Spark gathers over all training rows. Viterbi with a penalty for each chang
 labels the words; runs of one label are the spans, and the language of most letters is the
 document's.
 
+The languages only compete with each other, so a text must also look like the one it gets: its
+mean log share of a letter sequence is compared with those of that language's training rows, all
+of them, and a text far below their median scores 0.
+
 Defined results: null, empty and letterless texts are UNKNOWN with score 0 and without spans; a
 text whose script no learned language uses gets the most frequent language with score 0; without
 training rows everything is UNKNOWN. Ties go to the language that sorts first. Repeated rows get
@@ -23,12 +27,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from apportion.llm.words import chunks, lists, mix, text_bytes
+from apportion.session import cut
 
 UNKNOWN = "und"
 ORDERS = (2, 3, 4)  # bytes in a letter sequence, word borders included
 BUCKETS = 1 << 16  # counters of each order and language: the model's size has this bound
 SWITCH = 9.0  # nats that a change of language costs
 SMOOTH = 0.5
+FAR, LEAST_FAR = 8.0, 1.5  # median absolute deviations, and nats, that a text may lie below the median
 RARE_SCRIPT = 0.01  # a language is a candidate for scripts with this share of its words
 BATCH = 8 << 20  # bytes of text labelled in lockstep
 STRETCH = 1 << 19  # bytes whose words are scored at a time
@@ -101,6 +107,7 @@ class LanguageModel:
     tables: list[np.ndarray]  # for each order, log shares by bucket and language
     allowed: np.ndarray  # script by language
     default: int
+    least: np.ndarray  # by language, lowest mean log share of a sequence
 
     def word_scores(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         scores = np.zeros((len(starts), len(self.langs)))
@@ -114,6 +121,11 @@ class LanguageModel:
         return np.where(may, scores, np.where(may.any(axis=1), -1e3, 0.0)[:, None]).astype(np.float32)
 
 
+def sequences(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Letter sequences of each word, in the mean over the orders as word scores are."""
+    return sum(np.subtract(*gram_range(starts, ends, n)[::-1]) for n in ORDERS) / len(ORDERS)
+
+
 def viterbi(scores: np.ndarray, border: np.ndarray, switch: float) -> np.ndarray:
     """Best label of each word; all texts take a step at a time together, longest first."""
     sizes = np.diff(border)
@@ -152,7 +164,7 @@ def _labelled(texts: list[bytes], model: LanguageModel) -> Iterator[tuple[list,
     for lo, hi in chunks(texts, BATCH):
         own = texts[lo:hi]
         # Scores are found over short stretches, which keeps the tables in the cache.
-        words, lengths, points, ends_at, per_text = [], [], [], [], []
+        words, lengths, sizes, points, ends_at, per_text = [], [], [], [], [], []
         for a, b in chunks(own, STRETCH):
             data, starts, ends, border, begins = letters(own[a:b])
             words.append(model.word_scores(data, starts, ends))
@@ -161,6 +173,7 @@ def _labelled(texts: list[bytes], model: LanguageModel) -> Iterator[tuple[list,
             points.append(point[starts] - base)
             ends_at.append(point[ends] - base)
             lengths.append(ends - starts)
+            sizes.append(sequences(starts, ends))
             per_text.append(np.diff(border))
         scores, length = np.concatenate(words), np.concatenate(lengths)
         start, end = np.concatenate(points), np.concatenate(ends_at)
@@ -178,6 +191,14 @@ def _labelled(texts: list[bytes], model: LanguageModel) -> Iterator[tuple[list,
         lead = np.minimum(np.maximum(total[np.arange(len(own)), pick] - rival, 0), 50)
         score = share * (1 - 0.5 * np.exp(-lead))
         blind = ~(total != 0).any(axis=1)
+        # Words of the text's language: others count in its share already.
+        mine = labels == pick[owner]
+        mine &= scores.any(axis=1)
+        fit = np.bincount(owner[mine], weights=scores[mine, pick[owner[mine]]], minlength=len(own))
+        fit /= np.maximum(np.bincount(owner[mine], weights=np.concatenate(sizes)[mine], minlength=len(own)), 1)
+        # Words of scripts that no language uses are not in the language that they are labelled.
+        seen = np.bincount(owner[mine], weights=length[mine], minlength=len(own)) / np.maximum(mass.sum(axis=1), 1)
+        score = np.where(blind | (fit < model.least[pick]), 0.0, np.minimum(score, seen))
         pick = np.where(blind, model.default, pick)
         change = np.flatnonzero(np.concatenate(([True], (labels[1:] != labels[:-1]) | (owner[1:] != owner[:-1])))) if len(labels) else np.empty(0, np.int64)
         stop = np.concatenate((change[1:] - 1, [len(labels) - 1])).astype(np.int64) if len(change) else change
@@ -214,7 +235,42 @@ def learn(df: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Lang
     scripts = table[-N_SCRIPTS:]
     words = scripts.sum(axis=0)
     default = int(words.argmax()) if langs else 0
-    return LanguageModel(langs, tables, scripts >= np.maximum(RARE_SCRIPT * words, 1), default)
+    model = LanguageModel(langs, tables, scripts >= np.maximum(RARE_SCRIPT * words, 1), default, np.full(len(langs), -np.inf))
+    shared = df.sparkSession.sparkContext.broadcast(model)
+    fits = cut(rows.mapInArrow(_fits(shared), "lang string, fit double"))
+    middle = fits.groupBy("lang").agg(F.percentile_approx("fit", 0.5, 10000).alias("mid"))
+    away = fits.join(F.broadcast(middle), "lang").groupBy("lang", "mid").agg(F.percentile_approx(F.abs(F.col("fit") - F.col("mid")), 0.5, 10000).alias("mad"))
+    # One row for each language.
+    for r in away.collect():
+        model.least[langs.index(r["lang"])] = r["mid"] - max(FAR * r["mad"], LEAST_FAR)
+    shared.unpersist()
+    return model
+
+
+def _fits(shared):
+    """Rows of (text, lang) to (lang, mean log share of a letter sequence in that language)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        for batch in batches:
+            texts, langs = text_bytes(batch.column(0)), np.array(batch.column(1).to_pylist(), dtype=object)
+            for lang in sorted(set(langs)):
+                j = model.langs.index(lang) if lang in model.langs else None
+                if j is None:
+                    continue
+                # Its own column alone, in one-language tables.
+                alone = LanguageModel([lang], [t[:, j : j + 1] for t in model.tables], model.allowed[:, j : j + 1], 0, model.least[j : j + 1])
+                own = [texts[i] for i in np.flatnonzero(langs == lang)]
+                for lo, hi in chunks(own, STRETCH):
+                    data, starts, ends, border, _ = letters(own[lo:hi])
+                    scores = alone.word_scores(data, starts, ends)[:, 0]
+                    use = scores != 0
+                    owner = np.repeat(np.arange(hi - lo), np.diff(border))[use]
+                    size = np.bincount(owner, weights=sequences(starts, ends)[use], minlength=hi - lo)
+                    fit = np.bincount(owner, weights=scores[use], minlength=hi - lo)[size > 0] / size[size > 0]
+                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(fit), pa.string()), pa.array(fit, pa.float64())], names=["lang", "fit"])
+
+    return run
 
 
 RESULT = "struct<lang:string,score:double,span_langs:array<string>,span_starts:array<long>,span_ends:array<long>>"
@@ -222,7 +278,7 @@ RESULT = "struct<lang:string,score:double,span_langs:array<string>,span_starts:a
 
 def language(text: Column, model: LanguageModel, spark) -> Column:
     """Struct column: lang, score (0 to 1: share of letters in the language, less if another
-    language explains the text as well) and the spans with code point ranges."""
+    language explains the text as well, 0 if it does not look like the language) and the spans with code point ranges."""
     shared = spark.sparkContext.broadcast(model)
 
     @F.arrow_udf(RESULT)
@@ -260,7 +316,7 @@ def fresh(df: DataFrame, name: str) -> str:
 
 def keep_known_language(df: DataFrame, text_col: str = "text", lang_col: str = "lang", least: float = 0.25) -> DataFrame:
     """Rows of df whose text scores at least this much for its language, so that those without
-    letters and those without a leading language go; the language model
+    letters, without a leading language or in none that is learned go; the language model
     is learned from df's own labelled rows. Columns are those of df."""
     model = learn(df, text_col, lang_col)
     mark = fresh(df, "language")

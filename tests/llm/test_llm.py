@@ -602,3 +602,17 @@ def test_word_model_matches_a_plain_one(spark, monkeypatch):
             w = ["<s>", "<s>", *t.split(" "), "</s>"]
             want = -sum(math.log10(probability[1 - half(t)](s)) for s in zip(w, w[1:], w[2:], strict=False))
             assert got[i].log_ppl == pytest.approx(want / (len(t) + 1), abs=1e-9)
+
+
+def test_unlearned_languages_do_not_pass(spark):
+    rnd = random.Random(19)
+    one, two, other = vocabulary(45, "abcdefgh"), vocabulary(46, "stuvwxyz"), vocabulary(47, "ahijklmnopsz")
+    rows = [(i, prose(rnd, one if i % 2 else two, 60), "aa" if i % 2 else "bb") for i in range(60)]
+    mixed = prose(rnd, one, 50) + " " + prose(rnd, other, 12)
+    strange = [(100, "привет мир и всем доброго дня", None), (101, prose(rnd, other, 60), None), (102, "".join(rnd.choice("qwrtzpkjh") for _ in range(300)), None), (103, "שלום עולם", None)]
+    for known in (rows, [r for r in rows if r[2] == "aa"]):
+        docs = frame(spark, [*known, (99, mixed, None), *strange])
+        model = langid.learn(docs)
+        got = {r.doc_id: r.x for r in docs.select("doc_id", langid.language(F.col("text"), model, spark).alias("x")).collect()}
+        assert all(got[i].score == 0 for i, *_ in strange) and all(got[i].score > 0.9 for i, *_ in known)
+        assert {r.doc_id for r in langid.keep_known_language(docs).collect()} == {i for i, *_ in known} | {99}

@@ -118,3 +118,12 @@ def op8_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     from apportion.llm.quotes import reply_order
 
     return reply_order(table(spark, sf_dir, "conversations"))
+
+
+@query()
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from apportion.llm.token_counts import token_counts
+
+    return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))

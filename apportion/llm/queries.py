@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from apportion.llm.decontaminate import SQL as DECONTAMINATE_SQL
+from apportion.llm.merkle import SQL as MERKLE_SQL
 from apportion.llm.quotes import SQL as QUOTES_SQL
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -127,3 +128,10 @@ def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from apportion.llm.token_counts import token_counts
 
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query(sql=MERKLE_SQL)
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from apportion.llm.merkle import digest, manifest
+
+    return digest(manifest(table(spark, sf_dir, "documents")))

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from apportion.llm.collocations import SQL as COLLOCATIONS_SQL
 from apportion.llm.decontaminate import SQL as DECONTAMINATE_SQL
 from apportion.llm.merkle import SQL as MERKLE_SQL
 from apportion.llm.quotes import SQL as QUOTES_SQL
@@ -121,6 +122,13 @@ def op8_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reply_order(table(spark, sf_dir, "conversations"))
 
 
+@query(sql=COLLOCATIONS_SQL)
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from apportion.llm.collocations import collocations
+
+    return collocations(table(spark, sf_dir, "documents"))
+
+
 @query()
 def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers

@@ -30,16 +30,17 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from apportion.llm.words import chunks, mix, signed, text_bytes
+from apportion.llm.words import mix, signed, text_bytes
 from apportion.operators.skew import lookup_join
 from apportion.session import cut, shuffle_width
 
 PRIME = (1 << 31) - 1
 BASES = (1_000_003, 998_244_353, 1_234_567_891)  # two of the key, one of the check
-STRETCH = 2 << 20  # bytes of text hashed together
+STRETCH = 1 << 20  # bytes of text hashed together
 BLOOM_BITS = 1 << 26  # 8 MB
 PROBES = 2
 UNKNOWN = "und"
@@ -164,12 +165,17 @@ def _maybe(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
 
 
 def _streams(batch: pa.RecordBatch) -> Iterator[tuple[int, int, Stream, np.ndarray]]:
-    """Stretches of the rows of (lang, text, ...) with their languages' seeds."""
-    langs, texts = batch.column(0).to_pylist(), text_bytes(batch.column(1))
-    for lo, hi in chunks(texts, STRETCH):
-        stream = Stream.of(texts[lo:hi])
+    """Stretches of the rows of (lang, text, ...) with their languages' seeds. Only one stretch of
+    a batch's texts is copied at a time."""
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False))
+    lo = 0
+    while lo < len(sizes):
+        before = sizes[lo - 1] if lo else 0
+        hi = max(lo + 1, int(np.searchsorted(sizes, before + STRETCH, side="right")))
+        stream = Stream.of(text_bytes(batch.column(1).slice(lo, hi - lo)))
         if len(stream.starts):
-            yield lo, hi, stream, language_seeds(langs[lo:hi])
+            yield lo, hi, stream, language_seeds(batch.column(0).slice(lo, hi - lo).to_pylist())
+        lo = hi
 
 
 def _counted(n: int, bits: int, shared):
@@ -217,10 +223,10 @@ def _written(bits: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            langs, texts, wanted = batch.column(0).to_pylist(), text_bytes(batch.column(1)), batch.column(2)
-            for i, t in enumerate(texts):
-                stream = Stream.of([t])
-                prints, seeds = stream.prints(), language_seeds(langs[i : i + 1])
+            langs, texts, wanted = batch.columns
+            for i in range(batch.num_rows):
+                stream, lang = Stream.of(text_bytes(texts.slice(i, 1))), langs[i].as_py()
+                prints, seeds = stream.prints(), language_seeds([lang])
                 want = {c: wanted[i].values.field(c).to_numpy(zero_copy_only=False) for c in ("key", "check", "size", "f")}
                 order = np.argsort(want["key"])
                 out: list[tuple[str, int, int, str]] = []
@@ -232,7 +238,7 @@ def _written(bits: int):
                     same = (known[at] == keys) & (want["check"][mine][at] == checks(stream, prints, words, n, seeds).astype(np.int64))
                     at, first = np.unique(at[same], return_index=True)
                     for k, w in zip(mine[at].tolist(), words[same][first].tolist(), strict=True):
-                        out.append((langs[i], n, int(want["f"][k]), stream.text(w, n).decode()))
+                        out.append((lang, n, int(want["f"][k]), stream.text(w, n).decode()))
                 columns = list(zip(*out, strict=True)) or [[]] * 4
                 kinds = (pa.string(), pa.int32(), pa.int64(), pa.string())
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["lang", "size", "f", "phrase"])

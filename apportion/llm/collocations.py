@@ -34,7 +34,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from apportion.llm.words import mix, signed, text_bytes
+from apportion.llm.words import mix, signed, small_batches, text_bytes
 from apportion.operators.skew import lookup_join
 from apportion.session import cut, shuffle_width
 
@@ -374,7 +374,8 @@ def collocations(
     """lang, rank, phrase, a, l, r, n, score of each language's first phrases by score, count and
     phrase. bits is the width of a fingerprint."""
     rows = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit(UNKNOWN)).alias("lang"), F.col(text_col).cast("string").alias("text"))
-    counts, totals = frequent_phrases(rows.filter("text is not null"), longest, least, bits)
+    with small_batches(docs.sparkSession):
+        counts, totals = frequent_phrases(rows.filter("text is not null"), longest, least, bits)
     kept = cut(scored(counts).join(within_longer(counts, share), ["lang", "phrase"], "left_anti"))
     order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
     # A language's phrases are ranked in parts first, each part of a bounded number of tasks' heads.

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import SparkSession
 
 CHUNK = 2 << 20  # bytes of text hashed in one go
 _SPACE = np.zeros(256, dtype=bool)
@@ -99,3 +101,16 @@ def lists(arrays: list[np.ndarray | None], kind: pa.DataType) -> pa.Array:
     values = np.concatenate(full) if full else np.empty(0)
     mask = pa.array([a is None for a in arrays], pa.bool_())
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, kind), mask=mask)
+
+
+@contextmanager
+def small_batches(spark: SparkSession, size: str = "8m") -> Iterator[None]:
+    """Arrow batches of about size bytes for the jobs that run inside. A batch lies in memory
+    several times, on both sides of the pipe to a Python worker."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, size)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)

@@ -1,14 +1,24 @@
-"""Binary alignments read in parallel byte ranges through a Python data source."""
+"""Binary alignments read in parallel byte ranges.
+
+Nothing in the file says where records start, so a range in its midst has to guess. Every range
+therefore reports where its first record starts and where the first one beyond it does, and
+neighbours must meet: the first range is right, and whoever starts where a right range ends is
+right too. A range that does not meet the one before it is walked again from there, until all
+meet. Only then are records decoded, each range from its proven start.
+"""
 
 from __future__ import annotations
 
 import struct
 import zlib
+from collections.abc import Iterator
 
+import pandas as pd
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+
+from apportion.session import cut, hinted
 
 # Fixed values of the format: block magic, file magic, base and CIGAR alphabets.
 BLOCK_MAGIC = b"\x1f\x8b\x08\x04"
@@ -71,7 +81,6 @@ class _Blocks:
         i = data.find(BLOCK_MAGIC)
         while 0 <= i < end - at:
             if self._is_head(data[i : i + 18]):
-                self.block(at + i)  # sixteen fixed bytes are no accident: a damaged block is an error
                 return at + i
             i = data.find(BLOCK_MAGIC, i + 1)
         return None
@@ -145,7 +154,7 @@ def _first_record(data: bytes, lengths: list[int]) -> int | None:
 def _decode(data: bytes, i: int, refs: list[tuple[str, int]]) -> tuple:
     _size, ref, pos, name_len, _mq, _bin, n_cigar, flag, n_seq, mate, mate_pos = struct.unpack_from("<iiiBBHHHiii", data, i)
     p = i + 36
-    name = data[p : p + name_len - 1].decode()
+    name = data[p : p + name_len - 1].decode(errors="backslashreplace")
     p += name_len
     ops = struct.unpack_from(f"<{n_cigar}I", data, p)
     p += 4 * n_cigar
@@ -157,89 +166,148 @@ def _decode(data: bytes, i: int, refs: list[tuple[str, int]]) -> tuple:
     return name, flag, target, pos + 1, cigar, rnext, mate_pos + 1, seq
 
 
-class _Range(InputPartition):
-    def __init__(self, path: str, start: int, end: int, block: int | None, offset: int):
-        self.path, self.start, self.end, self.block, self.offset = path, start, end, block, offset
-
-
-class BamReader(DataSourceReader):
-    def __init__(self, path: str, range_bytes: int):
-        self.path, self.range_bytes = path, range_bytes
-
-    def partitions(self):
-        refs, block, offset = read_references(self.path)
-        size = _Blocks(self.path).size
-        parts, at = [], block
-        while at < size:
-            end = min(at + self.range_bytes, size)
-            parts.append(_Range(self.path, at, end, block if at == block else None, offset))
-            at = end
-        return parts or [_Range(self.path, size, size, None, 0)]
+class _Records:
+    """The records from a position on, whichever blocks they span."""
+
+    def __init__(self, blocks: _Blocks, block: int, offset: int):
+        self.blocks, self.next, self.i = blocks, block, offset
+        self.data, self.heads = b"", []  # heads: (offset in data, block offset)
+
+    def _more(self) -> bool:
+        found = self.blocks.block(self.next)
+        if found is None:
+            return False
+        self.heads.append((len(self.data), self.next))
+        self.data, self.next = self.data + found[0], found[1]
+        return True
+
+    def position(self) -> tuple[int, int]:
+        """(block, offset in it) of the next record; the file's size and 0 behind the last one."""
+        while self.i >= len(self.data):
+            if not self._more():
+                if self.i > len(self.data):
+                    raise ValueError(f"{self.blocks.path} ends inside a record")
+                return self.blocks.size, 0
+        keep = max(k for k, (at, _) in enumerate(self.heads) if at <= self.i)
+        base, block = self.heads[keep]
+        if base:
+            self.data, self.i = self.data[base:], self.i - base
+            self.heads = [(at - base, x) for at, x in self.heads[keep:]]
+        return block, self.i
+
+    def take(self) -> tuple[bytes, int]:
+        """The data that holds the next record, and the record's offset there."""
+        def need(n: int) -> None:
+            while len(self.data) < self.i + n:
+                if not self._more():
+                    raise ValueError(f"{self.blocks.path} ends inside a record")
+
+        need(4)
+        size = struct.unpack_from("<i", self.data, self.i)[0]
+        if size < 32:
+            raise ValueError(f"{self.blocks.path}: a record of {size} bytes; the file is damaged")
+        need(4 + size)
+        at = self.i
+        self.i += 4 + size
+        return self.data, at
+
+
+def _owned(blocks: _Blocks, block: int, offset: int, end: int) -> Iterator[tuple[int, int, bytes, int]]:
+    """(block, offset, data, offset in data) of the records from a position on that start in a
+    block before end, and at last the position behind them with empty data."""
+    records = _Records(blocks, block, offset)
+    while True:
+        at = records.position()
+        if at[0] >= end:
+            yield *at, b"", 0
+            return
+        yield *at, *records.take()
 
-    def read(self, part: _Range):
-        """Records that start in a block starting inside the range.
 
-        Ranges after the first look for a chain of valid records; the last record may run
-        into the blocks after the range.
-        """
-        refs, _, _ = read_references(part.path)
-        lengths = [n for _, n in refs]
-        blocks = _Blocks(part.path)
-        at = part.block if part.block is not None else blocks.first_block(part.start, part.end)
-        if at is None or at >= part.end:
-            return
-        data, origin = b"", []  # origin: (offset in data, block offset)
-        i = part.offset if part.block is not None else None
-        owned = 0  # bytes of data that come from blocks starting inside the range
-        pending = at
-        while True:
-            if pending is not None and (pending < part.end or i is None or i < owned):
-                found = blocks.block(pending)
-                if found is None:
-                    pending = None
-                else:
-                    origin.append((len(data), pending))
-                    data += found[0]
-                    if pending < part.end:
-                        owned = len(data)
-                    pending = found[1]
-                    if i is None and pending is not None and len(data) < 1 << 17:
-                        continue
-            if i is None:
-                i = _first_record(data, lengths)
-                if i is None:
-                    if pending is None or pending >= part.end:
-                        return
-                    continue
-            while i < owned and i + 4 <= len(data):
-                size = struct.unpack_from("<i", data, i)[0]
-                if i + 4 + size > len(data):
-                    break
-                base, block = next(o for o in reversed(origin) if o[0] <= i)
-                yield (part.path, block, i - base, *_decode(data, i, refs))
-                i += 4 + size
-            if pending is None and i < owned:
-                raise ValueError(f"{part.path} ends inside a record")
-            if i >= owned and (pending is None or pending >= part.end):
-                return
-            drop = max(o[0] for o in origin if o[0] <= i) if origin else 0
-            if drop:
-                data, i, owned = data[drop:], i - drop, owned - drop
-                origin = [(o - drop, b) for o, b in origin if o >= drop]
-
-
-class BamSource(DataSource):
-    """spark.read.format("bam").load(path): one row per record, in ranges."""
-
-    @classmethod
-    def name(cls) -> str:
-        return "bam"
-
-    def schema(self) -> str:
-        return SCHEMA
-
-    def reader(self, schema) -> DataSourceReader:
-        return BamReader(self.options["path"], int(self.options.get("range_bytes", RANGE_BYTES)))
+def _guess(blocks: _Blocks, start: int, end: int, lengths: list[int]) -> tuple[int, int] | None:
+    """Where the first record of a range may start."""
+    at = blocks.first_block(start, end)
+    if at is None:
+        return None
+    records = _Records(blocks, at, 0)
+    while records._more() and len(records.data) < 1 << 17:
+        pass
+    records.i = _first_record(records.data, lengths)
+    return None if records.i is None else records.position()
+
+
+BORDERS = "id bigint, start bigint, end bigint, from_block bigint, from_offset bigint, to_block bigint, to_offset bigint"
+
+
+def _survey(path: str):
+    """Ranges (id, start, end, from_block, from_offset) to their borders. A start that is given is
+    trusted and whatever is wrong from there on is an error; without one, a guess is tried."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        lengths = [n for _, n in read_references(path)[0]]
+        blocks = _Blocks(path)
+        for part in parts:
+            out = []
+            for r in part.itertuples(index=False):
+                known = None if pd.isna(r.from_block) else (int(r.from_block), int(r.from_offset))
+                try:
+                    at = known or _guess(blocks, r.start, r.end, lengths)
+                    to = None
+                    for to in _owned(blocks, *at, r.end) if at else ():
+                        pass
+                except ValueError:
+                    if known:
+                        raise
+                    at = to = None
+                out.append((r.id, r.start, r.end, *(at or (None, None)), *(to[:2] if to else (None, None))))
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in BORDERS.split(", ")]).astype("Int64")
+
+    return run
+
+
+def record_borders(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """(id, start, end, from_block, from_offset, to_block, to_offset) of every range of a file: the
+    positions of the first record it owns and of the first one it does not."""
+    _, block, offset = read_references(path)
+    size = _Blocks(path).size
+    n = max(1, -(-(size - block) // range_bytes))
+    start = F.lit(block) + F.col("id") * F.lit(range_bytes)
+    first = lambda v: F.when(F.col("id") == 0, F.lit(v).cast("bigint"))
+    ranges = spark.range(0, n, 1, n).select(
+        "id", start.alias("start"), F.least(start + F.lit(range_bytes), F.lit(size)).alias("end"), first(block).alias("from_block"), first(offset).alias("from_offset")
+    )
+    borders = cut(ranges.mapInPandas(_survey(path), BORDERS))
+    while True:
+        before = borders.select((F.col("id") + 1).alias("id"), F.col("to_block").alias("_block"), F.col("to_offset").alias("_offset"))
+        meets = F.col("from_block").eqNullSafe(F.col("_block")) & F.col("from_offset").eqNullSafe(F.col("_offset"))
+        # Behind a range whose own end is open, a later turn decides.
+        torn = borders.join(before.filter("_block is not null"), "id").filter(~meets)
+        again = torn.select("id", "start", "end", F.col("_block").alias("from_block"), F.col("_offset").alias("from_offset"))
+        again = cut(again.mapInPandas(_survey(path), BORDERS))
+        if again.isEmpty():
+            return borders
+        borders = cut(borders.join(again.select("id"), "id", "left_anti").unionByName(again))
+
+
+def _read(path: str):
+    """Ranges with proven borders to their decoded records."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        refs, _, _ = read_references(path)
+        blocks, columns = _Blocks(path), [c.split()[0] for c in SCHEMA.split(", ")]
+        out: list[tuple] = []
+        for part in parts:
+            for r in part.itertuples(index=False):
+                for block, at, data, i in _owned(blocks, int(r.from_block), int(r.from_offset), int(r.end)):
+                    if data:
+                        out.append((path, block, at, *_decode(data, i, refs)))
+                    if len(out) >= 10_000:
+                        yield pd.DataFrame(out, columns=columns)
+                        out = []
+        if out:
+            yield pd.DataFrame(out, columns=columns)
+
+    return run
 
 
 def _hadoop_path(spark: SparkSession, path: str):
@@ -260,10 +328,14 @@ def is_bam(spark: SparkSession, path: str) -> bool:
 
 
 def read_bam(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES) -> DataFrame:
-    spark.dataSource.register(BamSource)
+    """One row for each record of a file (SCHEMA); block_at and in_block are its position."""
     found, files = _hadoop_path(spark, path)
     whole = found.makeQualified(files.getUri(), files.getWorkingDirectory()).toString()
-    return spark.read.format("bam").option("range_bytes", str(range_bytes)).load(whole)
+    borders = record_borders(spark, whole, range_bytes)
+    n = borders.count()
+    # One task for each range.
+    ranges = spark.range(0, n, 1, n).join(hinted(borders, n, 64), "id")
+    return ranges.mapInPandas(_read(whole), SCHEMA)
 
 
 def bam_fields(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES) -> DataFrame:

@@ -3,7 +3,7 @@ import zlib
 
 import numpy as np
 import pytest
-from conftest import revcomp, simulate
+from simulation import revcomp, simulate
 from pyspark.sql import functions as F
 
 from apportion.config import Options
@@ -14,7 +14,7 @@ from apportion.plans.likelihood import aligned_reads
 from apportion.plans.sites import site_table
 from apportion.sources.alignments import check_contiguous, check_headers, read_alignments, read_header
 from apportion.session import cut
-from apportion.sources.bam import BASES, CIGAR_OPS, is_bam, read_bam
+from apportion.sources.bam import BASES, CIGAR_OPS, is_bam, read_bam, record_borders
 from apportion.sources.lines import numbered_lines
 from apportion.sources.params import AuxModel, read_params, write_params
 from apportion.sources.priors import read_priors
@@ -139,7 +139,7 @@ def to_bam(sam, path):
         ops = struct.pack("<I", int(cigar[:-1]) << 4 | CIGAR_OPS.index(cigar[-1]))
         codes = [BASES.index(c) for c in seq] + [0] * (len(seq) % 2)
         packed = bytes(codes[i] << 4 | codes[i + 1] for i in range(0, len(codes), 2))
-        body = struct.pack("<iiBBHHHiiii", ids[t], int(pos) - 1, len(name) + 1, 9, 0, 1, int(flag), len(seq), ids[t] if nxt == "=" else -1, int(mate) - 1, int(tlen))
+        body = struct.pack("<iiBBHHHiiii", ids[t], int(pos) - 1, len(name.encode()) + 1, 9, 0, 1, int(flag), len(seq), ids[t] if nxt == "=" else -1, int(mate) - 1, int(tlen))
         body += name.encode() + b"\0" + ops + packed + b"\xff" * len(seq)
         data += struct.pack("<i", len(body)) + body
     path.write_bytes(bgzf(data) + bgzf(b""))
@@ -160,6 +160,24 @@ def test_bam_ranges_give_every_record_once(spark, simulated, tmp_path):
     assert pick(a) == {r.target_id: r.est_counts for r in b.collect()}
 
 
+def test_doubtful_records_at_range_borders_stay(spark, simulated, tmp_path):
+    """Names that no range would take for one, a few and a long run of them, at any border."""
+    _, sam, _ = simulated
+    lines = open(sam).read().splitlines()
+    head, body = [x for x in lines if x[0] == "@"], [x for x in lines if x[0] != "@"][:300]
+    odd = [f"é\x01{i}\t{x.split(chr(9), 1)[1]}" if i % 21 == 20 or 100 <= i < 160 else f"r{i}\t{x.split(chr(9), 1)[1]}" for i, x in enumerate(body)]
+    path = write(tmp_path / "odd.sam", "\n".join([*head, *odd]) + "\n")
+    bam = to_bam(path, tmp_path / "odd.bam")
+    want = [x.split("\t")[0] for x in odd]
+    size = len(open(bam, "rb").read())
+    for width in (1500, 2300, size // 3, size):
+        rows = read_bam(spark, bam, width).orderBy("block_at", "in_block").collect()
+        assert [r["name"] for r in rows] == want
+        borders = record_borders(spark, bam, width).orderBy("id").collect()
+        assert all((a.to_block, a.to_offset) == (b.from_block, b.from_offset) for a, b in zip(borders, borders[1:]))
+        assert (borders[-1].to_block, borders[-1].to_offset) == (size, 0)
+
+
 def test_damaged_bam_is_an_error(spark, simulated, tmp_path):
     _, sam, _ = simulated
     bam = to_bam(sam, tmp_path / "whole.bam")

@@ -93,16 +93,10 @@ def target_lookup(spark, sf_dir):
     return mass.join(part, "target_id").withColumnRenamed("target_id", "l_partkey")
 
 
-@query("""WITH r AS (SELECT l_orderkey, l_linenumber, l_linestatus = 'F' AS rev,
-    CAST(round(l_extendedprice * 100) AS BIGINT) AS cents FROM lineitem),
-k AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber, rev ORDER BY cents) AS rk FROM r)
-SELECT a.l_orderkey, a.l_linenumber AS left_pos, b.l_linenumber + 11 AS right_pos,
-  a.cents AS cents_l, b.cents AS cents_r
-FROM k a JOIN k b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber = b.l_linenumber AND a.rk = b.rk
-WHERE NOT a.rev AND b.rev""")
-def mate_pairs(spark, sf_dir):
+def mate_reads(spark, sf_dir):
+    """Order lines as reads: the lines of one status look ahead, the others back at them."""
     rev, line = F.col("l_linestatus") == "F", F.col("l_linenumber").cast("bigint")
-    rows = lineitem(spark, sf_dir).select(
+    return lineitem(spark, sf_dir).select(
         F.col("l_orderkey").alias("name"),
         F.lit(0).alias("target_id"),
         F.when(rev, line + 10).otherwise(line).alias("left"),
@@ -112,7 +106,17 @@ def mate_pairs(spark, sf_dir):
         rev.alias("reversed"),
         F.round(F.col("l_extendedprice") * 100).cast("bigint").alias("line_no"),
     )
-    return pair_mates(rows).select(
+
+
+@query("""WITH r AS (SELECT l_orderkey, l_linenumber, l_linestatus = 'F' AS rev,
+    CAST(round(l_extendedprice * 100) AS BIGINT) AS cents FROM lineitem),
+k AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber, rev ORDER BY cents) AS rk FROM r)
+SELECT a.l_orderkey, a.l_linenumber AS left_pos, b.l_linenumber + 11 AS right_pos,
+  a.cents AS cents_l, b.cents AS cents_r
+FROM k a JOIN k b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber = b.l_linenumber AND a.rk = b.rk
+WHERE NOT a.rev AND b.rev""")
+def mate_pairs(spark, sf_dir):
+    return pair_mates(mate_reads(spark, sf_dir)).select(
         F.col("name").alias("l_orderkey"),
         F.col("left").alias("left_pos"),
         F.col("right").alias("right_pos"),

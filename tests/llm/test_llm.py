@@ -12,6 +12,7 @@ from collections import Counter
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from samples import prose, vocabulary
 
 from apportion.llm import compression, decontaminate, html_text, jaccard, langid, mixing, perplexity, pii, quotes, suffix_tree
 from apportion.llm.words import rolling, word_hashes
@@ -25,19 +26,6 @@ def frame(spark, rows):
     return spark.createDataFrame(full, DOCS)
 
 
-def vocabulary(seed, letters, n=400):
-    rnd = random.Random(seed)
-    return ["".join(rnd.choice(letters) for _ in range(rnd.randint(2, 9))) for _ in range(n)]
-
-
-def prose(rnd, words, n):
-    out = []
-    for i in range(n):
-        w = rnd.choice(words)
-        out.append(w + ("." if i % 9 == 8 else ""))
-    return " ".join(out)
-
-
 AWKWARD = [
     (None, "one two three four five six seven", "en"),
     (2, None, "en"),

@@ -40,7 +40,7 @@ from apportion.session import cut, shuffle_width
 
 PRIME = (1 << 31) - 1
 BASES = (1_000_003, 998_244_353, 1_234_567_891)  # two of the key, one of the check
-STRETCH = 1 << 20  # bytes of text hashed together
+STRETCH = 256 << 10  # bytes of text hashed together
 BLOOM_BITS = 1 << 26  # 8 MB
 PROBES = 2
 UNKNOWN = "und"

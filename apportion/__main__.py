@@ -9,6 +9,7 @@ from pyspark.sql import SparkSession
 
 from apportion.config import Options
 from apportion.plans.estimation import load_placements, load_targets
+from apportion.sources.targets import whole_sequences
 from apportion.plans.export import write_export
 from apportion.plans.run import run
 from apportion.session import discard_tables
@@ -67,7 +68,8 @@ def main(argv: list[str] | None = None) -> None:
         paths = [p for p in alignments.split(",") if p]
         header = check_headers(spark, paths)
         placements, _ = load_placements(spark, paths, header, options)
-        write_export(placements, load_targets(spark, targets, header, options), options.out_dir)
+        known, sequences = load_targets(spark, targets, header, options)
+        write_export(placements, whole_sequences(known, sequences), options.out_dir)
     else:
         run(spark, targets, alignments, options)
     discard_tables(spark)

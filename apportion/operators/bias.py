@@ -19,7 +19,7 @@ from apportion.operators.markov import (
     transition_probabilities,
     window_counts,
 )
-from apportion.operators.windows import sequence_slice
+from apportion.operators.windows import CHUNK, sequence_chunks, sequence_slice
 
 
 def end_windows(placements: DataFrame, targets: DataFrame, order: int, carry: list[str]) -> DataFrame:
@@ -81,10 +81,9 @@ def expected_counts(
     """(end, cond, nuc, mass) of the background chain along whole targets."""
     parts = []
     if direction != "R":
-        parts.append(background_counts(targets, F.col("seq"), weight, order, cdf).withColumn("end", F.lit("5")))
+        parts.append(background_counts(targets, weight, order, cdf).withColumn("end", F.lit("5")))
     if direction != "F":
-        rev = reverse_complement(F.col("seq"))
-        parts.append(background_counts(targets, rev, weight, order, cdf).withColumn("end", F.lit("3")))
+        parts.append(background_counts(targets, weight, order, cdf, reverse=True).withColumn("end", F.lit("3")))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -104,23 +103,55 @@ def bias_tables(observed: DataFrame, expected: DataFrame, order: int) -> dict[st
     return tables
 
 
+def observed_marginals(observed: DataFrame, order: int, alpha: float = 1.0) -> DataFrame:
+    """(end, pos, nuc, prob): share of each base at each window position over all contexts, every
+    cell with pseudo-count alpha; a context weighs by how often it was seen."""
+    start = alpha * 4**order
+    cells = observed.groupBy("end", "pos", "nuc").agg(F.sum("mass").alias("mass"))
+    spark = observed.sparkSession
+    grid = spark.range(BIAS_WINDOW * 4).select(F.floor(F.col("id") / 4).alias("pos"), (F.col("id") % 4).alias("nuc"))
+    grid = grid.select("*", F.explode(F.array(F.lit("5"), F.lit("3"))).alias("end"))
+    full = grid.join(cells, ["end", "pos", "nuc"], "left").withColumn("mass", F.coalesce("mass", F.lit(0.0)) + F.lit(start))
+    total = full.groupBy("end", "pos").agg(F.sum("mass").alias("_t"))
+    return full.join(total, ["end", "pos"]).select("end", "pos", "nuc", (F.col("mass") / F.col("_t")).alias("prob"))
+
+
+def marginal_tables(observed: DataFrame, order: int) -> dict[str, np.ndarray]:
+    """{end: [pos, base]}; a fixed number of cells."""
+    out = {end: np.zeros((BIAS_WINDOW, 4)) for end in ("5", "3")}
+    for r in observed_marginals(observed, order).collect():
+        out[r["end"]][r["pos"], r["nuc"]] = r["prob"]
+    return out
+
+
 def target_bias(targets: DataFrame, tables: dict, order: int) -> DataFrame:
-    """Add start_bias and end_bias (log weight per position) and avg_bias (linear)."""
+    """(target_id, avg_bias): the mean weight of 5' ends times that of 3' ends along a target.
+
+    Positions are dealt to overlapping chunks, each of which sums up its own; a target of any
+    length becomes two added sums, and no weight of a single position leaves its task.
+    """
+    reach = BIAS_SURROUND + order
 
-    def weights(seq: str, end: str) -> np.ndarray:
-        codes = encode(seq)
+    def weights(codes: np.ndarray, end: str, start: int, n: int, lo: int, hi: int) -> float:
         if end == "3":
-            codes = (3 - codes)[::-1]
-        obs, exp = tables[end]
-        out = log_window_scores(codes, obs, order, BIAS_SURROUND) - log_window_scores(codes, exp, order, BIAS_SURROUND)
-        return out if end == "5" else out[::-1]
-
-    @F.pandas_udf("start_bias array<double>, end_bias array<double>, avg_bias double")
-    def score(seqs: pd.Series) -> pd.DataFrame:
-        rows = []
-        for s in seqs:
-            a, b = weights(s, "5"), weights(s, "3")
-            rows.append((a, b, float(np.exp(a).sum() * np.exp(b).sum() / max(len(a), 1) ** 2)))
-        return pd.DataFrame(rows, columns=["start_bias", "end_bias", "avg_bias"])
-
-    return targets.withColumn("_b", score("seq")).select("*", "_b.*").drop("_b")
+            codes, start, lo, hi = (3 - codes)[::-1], n - start - codes.size, n - hi, n - lo
+        obs, exp = (log_window_scores(codes, t, order, BIAS_SURROUND, start, n, lo, hi) for t in tables[end])
+        return float(np.exp(obs - exp).sum())
+
+    def sums(batches):
+        for pdf in batches:
+            out = []
+            for target, k, n, bases in zip(pdf["target_id"], pdf["chunk_no"], pdf["length"], pdf["bases"], strict=True):
+                codes, start = encode(bases), k * CHUNK
+                # A chunk's own positions begin where both sides of a window are at hand.
+                lo, hi = (start + reach if k else 0), min(n, start + CHUNK + reach)
+                if lo < hi:
+                    out.append((target, n, *(weights(codes, end, start, n, lo, hi) for end in ("5", "3"))))
+            yield pd.DataFrame(out, columns=["target_id", "length", "five", "three"])
+
+    kind = targets.schema["target_id"].dataType.simpleString()
+    chunks = sequence_chunks(targets, 2 * reach)
+    parts = chunks.mapInPandas(sums, f"target_id {kind}, length bigint, five double, three double")
+    total = parts.groupBy("target_id", "length").agg(F.sum("five").alias("five"), F.sum("three").alias("three"))
+    n = F.greatest(F.col("length"), F.lit(1)).cast("double")
+    return total.select("target_id", (F.col("five") / n * F.col("three") / n).alias("avg_bias"))

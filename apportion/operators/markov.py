@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from apportion.config import BIAS_WINDOW, EPSILON
 from apportion.functions.sequence import let
+from apportion.operators.skew import lookup_join
+from apportion.operators.windows import CHUNK, sequence_chunks
 
 
 def window_cells(digits: Column, start: Column, left: Column, order: int, width: int = BIAS_WINDOW) -> Column:
@@ -73,13 +75,15 @@ def kmer_values(codes: np.ndarray, k: int) -> np.ndarray:
 
 
 def background_counts(
-    df: DataFrame, seq: Column, mass: Column, order: int = 3, cdf: list[float] | None = None
+    targets: DataFrame, mass: Column, order: int = 3, cdf: list[float] | None = None, reverse: bool = False
 ) -> DataFrame:
-    """(cond, nuc, mass) over whole sequences, each base weighted by mass times the
-    cumulative length probability of its distance to the end.
+    """(cond, nuc, mass) over the sequences of targets (whole or in chunks), each base weighted by
+    mass times the cumulative length probability of its distance to the end. reverse reads the
+    other strand, from the other end.
 
-    Every Arrow batch is reduced to 4^(order+1) sums inside the task before the shuffle.
-    cdf is a table over length bins, so its size is fixed.
+    A window belongs to the chunk it starts in, which overlaps the next one by the context, so
+    a sequence of any length is spread over tasks. Every Arrow batch is reduced to 4^(order+1)
+    sums inside the task before the shuffle; cdf is a table over length bins of fixed size.
     """
     size = 4 ** (order + 1)
     weights = None if cdf is None else np.asarray(cdf)
@@ -87,21 +91,28 @@ def background_counts(
     def reduce(batches):
         for pdf in batches:
             acc = np.zeros(size)
-            for text, m in zip(pdf["seq"], pdf["mass"], strict=True):
+            for text, at, n, m in zip(pdf["bases"], pdf["at"], pdf["length"], pdf["mass"], strict=True):
                 codes = encode(text)
+                if reverse:
+                    codes = (3 - codes)[::-1]
                 cells = kmer_values(codes, order + 1)
                 if not cells.size:
                     continue
                 w = np.full(cells.size, float(m))
                 if weights is not None:
-                    room = codes.size - np.arange(order, codes.size)
+                    start = n - at - codes.size if reverse else at
+                    room = n - start - np.arange(order, codes.size)
                     near = room < weights.size
                     w[near] *= weights[room[near]]
                 acc += np.bincount(cells, weights=w, minlength=size)
             hit = np.flatnonzero(acc)
             yield pd.DataFrame({"cond": hit // 4, "nuc": hit % 4, "mass": acc[hit]})
 
-    rows = df.select(seq.alias("seq"), mass.cast("double").alias("mass")).filter("seq is not null")
+    known = targets.withColumn("_mass", mass.cast("double"))
+    masses = known.select("target_id", "_mass").distinct() if "chunk_no" in targets.columns else known.select("target_id", "_mass")
+    rows = sequence_chunks(known.filter("seq is not null") if "seq" in targets.columns else targets, order)
+    rows = lookup_join(rows, masses, ["target_id"], masses.count(), ["chunk_no"])
+    rows = rows.select("bases", (F.col("chunk_no") * CHUNK).alias("at"), "length", F.col("_mass").alias("mass"))
     parts = rows.mapInPandas(reduce, "cond long, nuc long, mass double")
     return parts.groupBy("cond", "nuc").agg(F.sum("mass").alias("mass"))
 
@@ -143,15 +154,19 @@ def dense_log_table(probs: DataFrame, order: int, positions: int) -> np.ndarray:
     return out
 
 
-def log_window_scores(codes: np.ndarray, table: np.ndarray, order: int, surround: int) -> np.ndarray:
-    """Log probability of the window centred on every position of one sequence.
+def log_window_scores(
+    codes: np.ndarray, table: np.ndarray, order: int, surround: int,
+    start: int = 0, length: int | None = None, lo: int = 0, hi: int | None = None,
+) -> np.ndarray:
+    """Log probability of the windows centred on the positions lo to hi of a sequence.
 
-    The window starts surround bases before the position; its i-th base uses row
-    min(i, rows - 1) of the table. Bases that are context only count as 1/4.
+    codes are the bases from start on of a sequence of that length, with at least surround +
+    order bases around the positions. A window starts surround bases before its position; its
+    i-th base uses row min(i, rows - 1) of the table. Bases that are context only count as 1/4.
     """
-    n, width = codes.size, 2 * surround + 1
-    out = np.zeros(n)
-    pos = np.arange(n)
+    n, width = codes.size if length is None else length, 2 * surround + 1
+    pos = np.arange(lo, n if hi is None else hi)
+    out = np.zeros(pos.size)
     left = pos - surround
     edge = (left < order) & (left != 0)
     first = np.where(edge, order - left, 0)
@@ -160,7 +175,7 @@ def log_window_scores(codes: np.ndarray, table: np.ndarray, order: int, surround
     for i in range(width):
         j = left + i
         ok = (i >= first) & (j >= 0) & (j < n)
-        jj = j[ok]
+        jj = j[ok] - start
         cond = np.zeros(jj.size, dtype=np.int64)
         for k in range(order, 0, -1):
             use = edge[ok] | (i >= k)

@@ -55,6 +55,24 @@ def prefix_sum(df: DataFrame, ordinal: str, value: Column, name: str, block: int
     )
 
 
+def running(df: DataFrame, ordinal: str, aggs: dict[str, tuple[str, Column]], block: int = BLOCK) -> DataFrame:
+    """Add inclusive running aggregates along an ordinal, which may have gaps: {name: (sum or max,
+    value)}. Blocks of the ordinal aggregate alone; one small row for each carries over."""
+    how = {"sum": F.sum, "max": F.max}
+    join = {"sum": lambda a, b: a + F.coalesce(b, F.lit(0)), "max": F.greatest}
+    rows = df.withColumn("_block", F.floor(F.col(ordinal) / block))
+    for n, (_, value) in aggs.items():
+        rows = rows.withColumn(f"_v_{n}", value)
+    totals = rows.groupBy("_block").agg(*[how[f](f"_v_{n}").alias(f"_t_{n}") for n, (f, _) in aggs.items()])
+    before = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select("_block", *[how[f](f"_t_{n}").over(before).alias(f"_o_{n}") for n, (f, _) in aggs.items()])
+    inside = Window.partitionBy("_block").orderBy(ordinal).rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.select("*", *[how[f](f"_v_{n}").over(inside).alias(f"_i_{n}") for n, (f, _) in aggs.items()]).join(offsets, "_block")
+    for n, (f, _) in aggs.items():
+        rows = rows.withColumn(n, join[f](F.col(f"_i_{n}"), F.col(f"_o_{n}"))).drop(f"_v_{n}", f"_i_{n}", f"_o_{n}")
+    return rows.drop("_block")
+
+
 def forgetting_mass(df: DataFrame, ordinal: str = "n", forget: float = 0.85, name: str = "log_mass") -> DataFrame:
     """Log mass of the n-th fragment: log m_n = log m_{n-1} + c ln(n-1) - ln(n^c - 1)."""
     n = F.col(ordinal).cast("double")

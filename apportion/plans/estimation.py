@@ -15,10 +15,11 @@ from apportion.operators.em import batch_em, posteriors
 from apportion.operators.estimate import bundle_masses, masses_to_counts, result_table
 from apportion.operators.haplotypes import shared_alpha
 from apportion.operators.layout import HitLayout, build_layout
-from apportion.operators.neighbors import neighbor_sums
 from apportion.operators.online import decimal_end, mass_schedule, online_layout, online_pass, start_state
 from apportion.operators.pairing import pair_mates
+from apportion.operators.rates import rho
 from apportion.plans.likelihood import default_model, learn, relearn_background, score, sized_targets
+from apportion.operators.skew import lookup_join
 from apportion.plans.results import annotate_targets
 from apportion.session import cut
 from apportion.sources.alignments import (
@@ -31,7 +32,7 @@ from apportion.sources.alignments import (
 from apportion.sources.bam import is_bam
 from apportion.sources.params import AuxModel, read_params
 from apportion.sources.priors import attach_priors, read_priors
-from apportion.sources.targets import read_fasta, read_target_sets, validate_targets
+from apportion.sources.targets import read_fasta_chunks, read_target_sets, validate_targets
 
 FIRST_SNAPSHOT = 1_000_000  # fixed: intermediate results start at the millionth fragment
 
@@ -46,17 +47,22 @@ class Estimation:
     placements: DataFrame
     layout: HitLayout
     n_frags: int
+    sequences: DataFrame  # chunks of the targets
 
 
-def load_targets(spark: SparkSession, fasta: str, header: DataFrame, options: Options) -> DataFrame:
-    targets, _ = validate_targets(header, read_fasta(spark, fasta))
+def load_targets(spark: SparkSession, fasta: str, header: DataFrame, options: Options) -> tuple[DataFrame, DataFrame]:
+    """(targets, their sequences in chunks)."""
+    records, chunks = read_fasta_chunks(spark, fasta)
+    targets, _ = validate_targets(header, records)
     if options.priors_path:
         targets = attach_priors(targets, read_priors(spark, options.priors_path))
     else:
         targets = targets.withColumn("alpha", F.lit(options.alpha))
     if options.haplotype_path:
         targets = shared_alpha(targets, read_target_sets(spark, options.haplotype_path, targets))
-    return cut(targets)
+    targets = cut(targets)
+    sequences = lookup_join(chunks, targets.select("name", "target_id"), ["name"], targets.count(), ["chunk_no"])
+    return targets, cut(sequences.drop("name"))
 
 
 def load_placements(spark: SparkSession, paths: list[str], header: DataFrame, options: Options) -> tuple[DataFrame, DataFrame]:
@@ -109,17 +115,17 @@ def estimate(
     """
     paths = [p for p in alignments.split(",") if p]
     header = cut(check_headers(spark, paths))
-    targets = load_targets(spark, fasta, header, options)
+    targets, sequences = load_targets(spark, fasta, header, options)
     placements, frags = load_placements(spark, paths, header, options)
     schedule = cut(mass_schedule(frags.select("frag_id", "n"), 1.0 if options.batch_mode else options.forget))
 
-    aux = [auxiliary_model(spark, p, placements, frags, schedule, targets, options, i) for i, p in enumerate(paths)]
+    aux = [auxiliary_model(spark, p, placements, frags, schedule, targets, sequences, options, i) for i, p in enumerate(paths)]
     scored = None
     for i, model in enumerate(aux):
-        part = score(spark, placements.filter(F.col("library_id") == i), targets, model, options)
+        part = score(spark, placements.filter(F.col("library_id") == i), targets, sequences, model, options)
         scored = part if scored is None else scored.unionByName(part)
     scored = cut(scored)
-    sized = cut(sized_targets(spark, targets, aux[0], options).drop("seq"))
+    sized = cut(sized_targets(spark, targets, sequences, aux[0], options))
 
     hits = scored.select("frag_id", "target_id", "log_w")
     layout = online_layout(hits, schedule, decimal=options.running_reads)
@@ -143,7 +149,7 @@ def estimate(
         last_is_batch = options.batch_rounds or options.batch_mode or options.both
         mass = None if last_is_batch else F.exp(F.col("log_mass") - F.lit(final_scale(state)))
         covar = bundle_covariance(covariance_pairs(post, mass), members, scale)
-    return Estimation(table(state), share_out(scored, post), covar, aux, known, placements, layout, n_frags)
+    return Estimation(table(state), share_out(scored, post), covar, aux, known, placements, layout, n_frags, sequences)
 
 
 def auxiliary_model(
@@ -153,6 +159,7 @@ def auxiliary_model(
     frags: DataFrame,
     schedule: DataFrame,
     targets: DataFrame,
+    sequences: DataFrame,
     options: Options,
     library: int,
 ) -> AuxModel:
@@ -174,19 +181,23 @@ def auxiliary_model(
     rows = placements.filter(F.col("library_id") == library).join(early, "frag_id")
 
     def shares(model: AuxModel, opts: Options) -> tuple[DataFrame, DataFrame, DataFrame]:
-        scored = cut(score(spark, rows, targets, model, opts))
+        scored = cut(score(spark, rows, targets, sequences, model, opts))
         layout = build_layout(scored.select("frag_id", "target_id", "log_w"))
-        sized = sized_targets(spark, targets, model, opts)
+        sized = sized_targets(spark, targets, sequences, model, opts)
         state = batch_em(layout, sized, 2)
-        return share_out(scored, posteriors(layout, state)), state, sized
+        # Fragments weigh 1 here, so a target's unshared mass is the number of those on it.
+        seen = layout.hits.groupBy("target_id").agg(F.count(F.lit(1)).cast("double").alias("seen_mass"))
+        # Two batch rounds have left the pseudo-counts of the start behind.
+        seen = state.join(seen, "target_id", "left").fillna(0.0, "seen_mass").withColumn("alpha", F.lit(0.0))
+        return share_out(scored, posteriors(layout, state)), seen.withColumn("log_scale", F.lit(0.0)), sized
 
     weighted, _, _ = shares(first, plain)
     weight = F.col("p") * F.exp("log_mass")
-    aux = learn(spark, cut(weighted), targets, weight, options)
+    aux = learn(spark, cut(weighted), sequences, weight, options)
     if options.bias:
         weighted, state, _ = shares(aux, options)
-        rho = state.select("target_id", (F.col("mass") / F.col("eff_len")).alias("rho"))
-        with_rho = targets.join(rho, "target_id").filter("rho > 0")
+        rates = rho(state)
+        with_rho = lookup_join(sequences, rates, ["target_id"], targets.count(), ["chunk_no"])
         aux = relearn_background(with_rho, F.col("rho"), aux, cut(weighted), weight, options)
     return aux
 
@@ -195,7 +206,7 @@ def run_rounds(
     layout: HitLayout, known: DataFrame, schedule: DataFrame, hits: DataFrame, options: Options, snapshot
 ) -> DataFrame:
     """Online first pass or batch start, then the extra rounds asked for."""
-    on_batch = None
+    on_batch, k = None, options.neighbors
     if options.running_reads:
 
         def on_batch(batch: int, s: DataFrame) -> None:
@@ -204,33 +215,24 @@ def run_rounds(
 
     on_round = (lambda i, s: snapshot(f"round-{i}", s)) if options.running_rounds else None
     if options.batch_mode:
-        return batch_em(layout, known, 1 + options.batch_rounds, variance=True, on_round=on_round)
-    state = online_pass(layout, start_state(known), on_batch=on_batch)
+        return batch_em(layout, known, 1 + options.batch_rounds, variance=True, on_round=on_round, neighbors=k)
+    state = online_pass(layout, start_state(known), on_batch=on_batch, neighbors=k)
     for r in range(1, options.online_rounds + 1):
         total = layout.n_frags
         later = mass_schedule(
             schedule.select("frag_id", "n"), options.forget, rounds=r + 1, total=total
         ).filter(F.col("round") == r)
-        state = online_pass(online_layout(hits, later), state, first_round=False)
+        state = online_pass(online_layout(hits, later), state, first_round=False, neighbors=k)
         if on_round is not None:
             on_round(r, state)
     extra = options.batch_rounds or int(options.both)
     if extra:
         start = masses_to_counts(state, result_rows(known, state))
         start = start.withColumn("theta", F.col("mass"))
-        if options.neighbors:
-            start = smoothed_start(start, options.neighbors)
-        state = batch_em(layout, known, extra, variance=True, start=cut(start), on_round=on_round)
+        state = batch_em(layout, known, extra, variance=True, start=cut(start), on_round=on_round, neighbors=k)
     return state
 
 
-def smoothed_start(state: DataFrame, k: int) -> DataFrame:
-    """Sample likelihood from the masses and lengths of targets within k ids."""
-    sums = neighbor_sums(state, "target_id", ["theta", "eff_len"], k)
-    ratio = F.col("eff_len") * F.col("theta_nb") / F.col("eff_len_nb")
-    return state.join(sums, "target_id").withColumn("theta", ratio).drop("theta_nb", "eff_len_nb")
-
-
 def result_rows(known: DataFrame, state: DataFrame) -> DataFrame:
     """Target annotations next to the state's masses and variances."""
     facts = known.drop("eff_len", "alpha", "bundle_mass", "avg_bias")
@@ -244,7 +246,7 @@ def assign(layout: HitLayout, known: DataFrame, state: DataFrame, options: Optio
     first_only = not (options.batch_rounds or options.online_rounds or options.batch_mode or options.both)
     theta = F.col("mass") + pseudo if first_only else F.col("mass")
     table = state.select("target_id", "mass").join(known.select("target_id", "eff_len", "alpha"), "target_id")
-    return posteriors(layout, table.withColumn("theta", theta))
+    return posteriors(layout, table.withColumn("theta", theta), neighbors=options.neighbors)
 
 
 def final_scale(state: DataFrame) -> float:

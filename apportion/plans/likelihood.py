@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from apportion.config import LENGTH_MAX, Options
 from apportion.functions.sequence import digits, reverse_complement
-from apportion.operators.bias import bias_tables, end_scores, expected_counts, observed_counts, target_bias
+from apportion.operators.bias import bias_tables, end_scores, expected_counts, marginal_tables, observed_counts, target_bias
 from apportion.operators.lengths import effective_length, length_likelihood, length_table, prior_masses, smoothed_histogram
 from apportion.operators.mismatch import (
     base_events,
@@ -67,9 +67,10 @@ def aligned_reads(placements: DataFrame, targets: DataFrame) -> DataFrame:
 
 
 def learn(
-    spark: SparkSession, placements: DataFrame, targets: DataFrame, weight: Column, options: Options
+    spark: SparkSession, placements: DataFrame, sequences: DataFrame, weight: Column, options: Options
 ) -> AuxModel:
-    """Tables from placements weighted by posterior times fragment mass.
+    """Tables from placements weighted by posterior times fragment mass. sequences holds the
+    targets' chunks, here and below.
 
     Each table is a grouped sum whose size is fixed by the options, so fetching it does
     not grow with the data.
@@ -83,7 +84,7 @@ def learn(
     least = paired.filter(F.col("_mass") > 0).agg(F.min("frag_len")).first()[0]
     aux = AuxModel(lengths, order=options.bias_order, min_len=max(1, int(least or 1)))
     if options.errors:
-        reads = cut(aligned_reads(rows, targets))
+        reads = cut(aligned_reads(rows, sequences))
         events = base_events(reads, ["mate", "_mass"], F.col("read"), F.col("ref"), F.col("blocks"))
         counts = mismatch_counts(events, ["mate"], F.col("_mass")).collect()
         longest = 1 + max((r["pos"] for r in counts), default=0)
@@ -99,30 +100,34 @@ def learn(
             masses = [p + sums.get((kind, i), 0.0) for i, p in enumerate(indel_prior(options.max_indel))]
             setattr(aux, attr, [m / sum(masses) for m in masses])
     if options.bias:
-        seen_ends = observed_counts(rows, targets, F.col("_mass"), options.bias_order)
-        background = expected_counts(targets, F.lit(1.0), options.bias_order, None, options.direction)
-        aux.bias = bias_tables(cut(seen_ends), cut(background), options.bias_order)
+        seen_ends = observed_counts(rows, sequences, F.col("_mass"), options.bias_order)
+        background = expected_counts(sequences, F.lit(1.0), options.bias_order, None, options.direction)
+        seen_ends = cut(seen_ends)
+        aux.bias = bias_tables(seen_ends, cut(background), options.bias_order)
+        aux.marginal = marginal_tables(seen_ends, options.bias_order)
     return aux
 
 
 def relearn_background(
-    targets: DataFrame, rho: Column, aux: AuxModel, placements: DataFrame, weight: Column, options: Options
+    sequences: DataFrame, rho: Column, aux: AuxModel, placements: DataFrame, weight: Column, options: Options
 ) -> AuxModel:
     """Refresh the bias background with expression weights and the length distribution."""
     total = sum(aux.lengths)
     cdf = (np.cumsum(aux.lengths) / total).tolist()
-    seen = observed_counts(placements.withColumn("_mass", weight), targets, F.col("_mass"), options.bias_order)
-    background = expected_counts(targets, rho, options.bias_order, cdf, options.direction)
-    aux.bias = bias_tables(cut(seen), cut(background), options.bias_order)
+    seen = observed_counts(placements.withColumn("_mass", weight), sequences, F.col("_mass"), options.bias_order)
+    background = expected_counts(sequences.filter(rho > 0), rho, options.bias_order, cdf, options.direction)
+    seen = cut(seen)
+    aux.bias = bias_tables(seen, cut(background), options.bias_order)
+    aux.marginal = marginal_tables(seen, options.bias_order)
     return aux
 
 
-def sized_targets(spark: SparkSession, targets: DataFrame, aux: AuxModel, options: Options) -> DataFrame:
+def sized_targets(spark: SparkSession, targets: DataFrame, sequences: DataFrame, aux: AuxModel, options: Options) -> DataFrame:
     """Add eff_len, bias included."""
     rows = effective_length(targets, length_rows(spark, aux.lengths, aux.min_len), len(aux.lengths) - 1)
     if not (options.bias and aux.bias):
         return rows.withColumn("avg_bias", F.lit(1.0))
-    rows = target_bias(rows, aux.bias, aux.order).drop("start_bias", "end_bias")
+    rows = rows.join(target_bias(sequences, aux.bias, aux.order), "target_id", "left").fillna(1.0, "avg_bias")
     return rows.withColumn("eff_len", F.col("eff_len") * F.col("avg_bias"))
 
 
@@ -138,7 +143,7 @@ def mismatch_rows(spark: SparkSession, aux: AuxModel) -> tuple[DataFrame, int]:
 
 
 def score(
-    spark: SparkSession, placements: DataFrame, targets: DataFrame, aux: AuxModel, options: Options
+    spark: SparkSession, placements: DataFrame, targets: DataFrame, sequences: DataFrame, aux: AuxModel, options: Options
 ) -> DataFrame:
     """Add log_w, the log alignment likelihood of each placement (hit_id is unique)."""
     top = len(aux.lengths) - 1
@@ -146,7 +151,7 @@ def score(
     rows = length_likelihood(length_rows(spark, aux.lengths), rows, top, options.compat_cmf)
     rows = rows.withColumn("log_w", F.when(F.col("length_w") > 0, F.ln("length_w"))).drop("length_w")
     if options.errors and aux.mismatch:
-        reads = cut(aligned_reads(placements, targets))
+        reads = cut(aligned_reads(placements, sequences))
         events = base_events(reads, ["hit_id", "mate"], F.col("read"), F.col("ref"), F.col("blocks"))
         probs, n = mismatch_rows(spark, aux)
         bases = mismatch_score(events, probs, ["mate"], ["hit_id"], n)
@@ -165,7 +170,7 @@ def score(
         rows = rows.join(bases.withColumnRenamed("log_w", "_b"), "hit_id", "left").join(gaps, "hit_id", "left")
         rows = rows.withColumn("log_w", F.col("log_w") + F.coalesce("_b", F.lit(0.0)) + F.coalesce("_g", F.lit(0.0))).drop("_b", "_g")
     if options.bias and aux.bias:
-        bias = end_scores(placements, targets, aux.bias, aux.order, ["hit_id"])
+        bias = end_scores(placements, sequences, aux.bias, aux.order, ["hit_id"])
         rows = rows.join(bias, "hit_id", "left").withColumn(
             "log_w", F.col("log_w") + F.coalesce("log_bias", F.lit(0.0))
         ).drop("log_bias")

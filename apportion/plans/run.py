@@ -45,5 +45,5 @@ def run(spark: SparkSession, fasta: str, alignments: str, options: Options) -> E
         members = est.targets.select("bundle_id", "target_id", "name")
         write_covariances(est.covariances, members, f"{out}/varcov")
     if options.edit_detect:
-        write_sites(site_table(spark, fasta, est), f"{out}/rdds")
+        write_sites(site_table(spark, est), f"{out}/rdds")
     return est

@@ -10,17 +10,15 @@ from apportion.operators.sites import site_p_values
 from apportion.operators.skew import lookup_join
 from apportion.plans.estimation import Estimation
 from apportion.plans.likelihood import aligned_reads, mismatch_rows
-from apportion.session import cut
 from apportion.sources.params import AuxModel
-from apportion.sources.targets import read_fasta
 
 PSEUDO, REFERENCE = 0.001, 2.0  # fixed starting masses: every base, and the reference base on top
 
 
-def _library_events(spark: SparkSession, rows: DataFrame, targets: DataFrame, model: AuxModel) -> DataFrame:
+def _library_events(spark: SparkSession, rows: DataFrame, sequences: DataFrame, model: AuxModel) -> DataFrame:
     """One row per read base of a library: its site, the expected bases given the reference and
     the likelihood of every true base."""
-    reads = aligned_reads(rows, targets.select("target_id", "length", "seq"))
+    reads = aligned_reads(rows, sequences)
     where = reads.select("hit_id", "mate", "reversed", "_mass", "target_id", "slice_left", "slice_right", "read", "ref", "blocks")
     ids = ["mate", "reversed", "_mass", "target_id", "slice_left", "slice_right"]
     events = base_events(where, ids, F.col("read"), F.col("ref"), F.col("blocks"))
@@ -45,7 +43,7 @@ def _library_events(spark: SparkSession, rows: DataFrame, targets: DataFrame, mo
     return events
 
 
-def site_table(spark: SparkSession, fasta: str, est: Estimation) -> DataFrame:
+def site_table(spark: SparkSession, est: Estimation) -> DataFrame:
     """(name, position, ref_nuc, p_value, depth, est_0..3, obs_0..3, exp_0..3).
 
     Observed: posterior-weighted read bases. Expected: posterior-weighted error model given
@@ -54,12 +52,10 @@ def site_table(spark: SparkSession, fasta: str, est: Estimation) -> DataFrame:
     """
     if not all(model.mismatch for model in est.aux):
         raise ValueError("site differences need the error model")
-    seqs = read_fasta(spark, fasta).select("name", "seq")
-    targets = cut(est.targets.select("target_id", "name", "length").join(seqs, "name"))
     rows = est.assigned.filter("p > 0").withColumn("_mass", F.col("p"))
     events = None
     for i, model in enumerate(est.aux):  # every library's reads meet their own error model
-        part = _library_events(spark, rows.filter(F.col("library_id") == i), targets, model)
+        part = _library_events(spark, rows.filter(F.col("library_id") == i), est.sequences, model)
         events = part if events is None else events.unionByName(part)
     start = lambda i: F.lit(PSEUDO) + F.when(F.col("ref") == i, REFERENCE).otherwise(0.0)
     joint = [start(i) * F.get("_like", F.lit(i)) for i in range(4)]
@@ -80,4 +76,4 @@ def site_table(spark: SparkSession, fasta: str, est: Estimation) -> DataFrame:
     weight = [F.col(f"est_{i}") + PSEUDO + F.when(F.col("ref_nuc") == i, REFERENCE).otherwise(0.0) for i in range(4)]
     whole = weight[0] + weight[1] + weight[2] + weight[3]
     sites = sites.withColumns({f"est_{i}": w / whole for i, w in enumerate(weight)})
-    return site_p_values(sites).join(targets.select("target_id", "name"), "target_id")
+    return site_p_values(sites).join(est.targets.select("target_id", "name"), "target_id")

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("relational", "aggregates", "scalars", "windows", "iterative", "models", "streams")
+MODULES = ("relational", "aggregates", "scalars", "windows", "iterative", "models", "files", "streams")
 
 
 def load() -> None:

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
 from apportion.config import BIAS_SURROUND, BIAS_WINDOW
-from apportion.functions.sequence import digits
+from apportion.functions.sequence import clean, digits
+from apportion.operators.bias import observed_marginals, target_bias
 from apportion.operators.markov import (
     background_counts,
     dense_log_table,
@@ -26,7 +30,8 @@ from apportion.operators.mismatch import (
 from apportion.operators.sites import site_counts, site_p_values
 from apportion.queries.base import lineitem, query, table
 from apportion.queries.scalars import SQL_CODES
-from apportion.session import cut
+from apportion.session import checkpoint_dir, cut
+from apportion.sources.targets import read_fasta_chunks
 
 ORDER = 3
 SQL_DIG = f"dg AS MATERIALIZED (SELECT doc_id, lang, {SQL_CODES} AS s, length(text) AS n FROM documents)"
@@ -107,18 +112,83 @@ SELECT cond, CAST(nuc AS BIGINT) AS nuc, round(sum(CASE WHEN room <= {RAMP} THEN
 FROM k WHERE cond IS NOT NULL GROUP BY 1, 2""")
 def background_learn(spark, sf_dir):
     cdf = [(i / RAMP) ** 0.5 for i in range(RAMP + 1)]
-    out = background_counts(documents(spark, sf_dir), F.col("text"), F.lit(1.0), ORDER, cdf)
+    out = background_counts(texts(spark, sf_dir), F.lit(1.0), ORDER, cdf)
     return out.select("cond", "nuc", F.round("mass", 4).alias("mass"))
 
 
+def texts(spark, sf_dir):
+    """Documents as sequences."""
+    return documents(spark, sf_dir).select(F.col("doc_id").alias("target_id"), F.length("text").alias("length"), F.col("text").alias("seq"))
+
+
 @query(f"""WITH {SQL_KMERS}
 SELECT CAST(p AS BIGINT) AS pos, cond % CAST(pow(4, p) AS BIGINT) AS cond, CAST(nuc AS BIGINT) AS nuc, CAST(count(*) AS DOUBLE) AS mass
 FROM k, range(4) r(p) WHERE cond IS NOT NULL GROUP BY ALL""")
 def markov_marginals(spark, sf_dir):
-    out = marginals(background_counts(documents(spark, sf_dir), F.col("text"), F.lit(1.0), ORDER), ORDER)
+    out = marginals(background_counts(texts(spark, sf_dir), F.lit(1.0), ORDER), ORDER)
     return out.select(F.col("pos").cast("bigint").alias("pos"), "cond", "nuc", "mass")
 
 
+def document_fasta(spark, sf_dir, folder, width=70):
+    """Write the documents' letters as records of lines that follow each other in file order."""
+    line = F.explode(F.sequence(F.lit(0), F.ceil(F.length("seq") / width).cast("int"))).alias("line")
+    rows = texts(spark, sf_dir).select("target_id", clean(F.col("seq")).alias("seq"), line)
+    value = F.when(F.col("line") == 0, F.concat(F.lit(">"), F.col("target_id").cast("string"), F.lit(" a document")))
+    value = value.otherwise(F.substring("seq", (F.col("line") - 1) * width + 1, F.lit(width)))
+    # Ranges of (document, line): a long document goes over into the next file.
+    rows.select("target_id", "line", value.alias("value")).repartitionByRange("target_id", "line").sortWithinPartitions(
+        "target_id", "line"
+    ).select("value").write.text(folder)
+
+
+@query(f"""WITH {SQL_DIG}, l AS (SELECT CAST(doc_id AS VARCHAR) AS name, translate(s, '0123', 'ACGT') AS seq, CAST(n AS BIGINT) AS length FROM dg WHERE n > 0)
+SELECT name, CAST(k AS BIGINT) AS chunk_no, length, md5(substr(seq, CAST(k AS BIGINT) * 4096 + 1, 4096)) AS digest
+FROM (SELECT *, unnest(range(0, (length - 1) // 4096 + 1)) AS k FROM l)""")
+def fasta_records(spark, sf_dir):
+    """Documents as a sequence file, read back as chunks of their records."""
+    folder = f"{checkpoint_dir(spark)}/fasta-{uuid.uuid4().hex}"
+    document_fasta(spark, sf_dir, folder)
+    _, chunks = read_fasta_chunks(spark, folder)
+    return chunks.select("name", "chunk_no", "length", F.md5("bases").alias("digest"))
+
+
+@query(f"""WITH {SQL_WIN}, c AS (SELECT pos, nuc, count(*) AS m FROM wc GROUP BY ALL),
+g AS (SELECT CAST(p AS INTEGER) AS pos, CAST(b AS INTEGER) AS nuc FROM range({BIAS_WINDOW}) a(p), range(4) d(b))
+SELECT CAST(pos AS BIGINT) AS pos, CAST(nuc AS BIGINT) AS nuc, round((coalesce(m, 0) + {4**ORDER}) / (sum(coalesce(m, 0) + {4**ORDER}) OVER (PARTITION BY pos)), 10) AS prob
+FROM g LEFT JOIN c USING (pos, nuc)""")
+def markov_marginal_shares(spark, sf_dir):
+    """Share of each base at each position of the documents' windows, whatever came before it."""
+    seen = observed_windows(spark, sf_dir).withColumn("end", F.lit("5"))
+    out = observed_marginals(seen, ORDER).filter("end = '5'")
+    return out.select("pos", "nuc", F.round("prob", 10).alias("prob"))
+
+
+# The window chain against uniform bases at every position of both strands. Base j is cell i of
+# the window of position j - i + 10, with the context rule of early starts.
+SQL_TARGET_BIAS = f"""{SQL_WIN}, {SQL_GRID},
+st AS (SELECT doc_id, n, 5 AS strand, s FROM dg WHERE n > 0 UNION ALL SELECT doc_id, n, 3, reverse(translate(s, '0123', '3210')) FROM dg WHERE n > 0),
+bs AS (SELECT doc_id, n, strand, j, CAST(substr(s, j + 1, 1) AS INTEGER) AS nuc, 16 * coalesce(try_cast(substr(s, j - 2, 1) AS INTEGER), 0) * (j >= 3)::INT
+    + 4 * coalesce(try_cast(substr(s, j - 1, 1) AS INTEGER), 0) * (j >= 2)::INT + coalesce(try_cast(substr(s, j, 1) AS INTEGER), 0) * (j >= 1)::INT AS ctx
+  FROM (SELECT *, unnest(range(n)) AS j FROM st)),
+lg AS MATERIALIZED (SELECT pos, cond, nuc, ln(prob) - ln(0.25e0) AS x FROM pr),
+ce AS (SELECT doc_id, n, strand, j - i + {BIAS_SURROUND} AS p, i AS pos, nuc, j, j - i AS l,
+    CASE WHEN (j - i < {ORDER} AND j - i <> 0) OR i >= {ORDER} THEN ctx ELSE ctx & (CAST(pow(4, i) AS INTEGER) - 1) END AS cond
+  FROM bs, range({BIAS_WINDOW}) r(i) WHERE j - i + {BIAS_SURROUND} BETWEEN 0 AND n - 1),
+sc AS (SELECT doc_id, n, strand, p, exp(sum(x)) AS w FROM ce JOIN lg USING (pos, cond, nuc) WHERE NOT (l < {ORDER} AND l <> 0 AND pos < {ORDER} - l) GROUP BY ALL),
+en AS (SELECT doc_id, n, strand, sum(w) AS w FROM sc GROUP BY ALL)"""
+
+
+@query(f"""WITH {SQL_TARGET_BIAS} SELECT doc_id, round(ln(a.w / a.n) + ln(b.w / b.n), 6) AS log_bias
+FROM en a JOIN en b USING (doc_id) WHERE a.strand = 5 AND b.strand = 3""")
+def target_bias_means(spark, sf_dir):
+    """Log mean weight of both ends along every document, its sequence spread over chunks."""
+    probs = transition_probabilities(observed_windows(spark, sf_dir), ORDER, BIAS_WINDOW, 1.0)
+    grid = dense_log_table(probs, ORDER, BIAS_WINDOW)
+    uniform = np.full((ORDER + 1, 4**ORDER, 4), np.log(0.25))
+    out = target_bias(texts(spark, sf_dir).filter("length > 0"), {"5": (grid, uniform), "3": (grid, uniform)}, ORDER)
+    return out.select(F.col("target_id").alias("doc_id"), F.round(F.ln("avg_bias"), 6).alias("log_bias"))
+
+
 # Consecutive turns of a conversation: the later one is the read, the earlier one its target.
 SQL_TURNS = f"""tn AS (SELECT conv_id, turn, role, {SQL_CODES} AS s FROM conversations),
 rd AS MATERIALIZED (SELECT a.conv_id, a.turn, a.role AS mate, a.s AS r, b.s AS t, least(length(a.s), length(b.s)) AS n

@@ -318,8 +318,11 @@ def _hadoop_path(spark: SparkSession, path: str):
 
 
 def is_bam(spark: SparkSession, path: str) -> bool:
-    """Compressed-block magic at the start of the file; a file that cannot be read is an error."""
+    """Compressed-block magic at the start of the file; a file that cannot be read is an error. A
+    folder holds text in parts."""
     found, files = _hadoop_path(spark, path)
+    if files.getFileStatus(found).isDirectory():
+        return False
     stream = files.open(found)
     try:
         return all(stream.read() == b for b in BLOCK_MAGIC)

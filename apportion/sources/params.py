@@ -22,6 +22,7 @@ class AuxModel:
     inserts: list[float] = field(default_factory=list)
     deletes: list[float] = field(default_factory=list)
     bias: dict[str, tuple[np.ndarray, np.ndarray]] = field(default_factory=dict)  # end -> log tables
+    marginal: dict[str, np.ndarray] = field(default_factory=dict)  # end -> [pos, base] shares observed
     order: int = 3
     min_len: int = 1  # smallest fragment length seen; 1 if none was
 
@@ -57,7 +58,9 @@ def params_lines(aux: AuxModel) -> list[str]:
         obs, exp = (np.exp(t) for t in aux.bias[end])
         offsets = range(-BIAS_SURROUND, BIAS_WINDOW - BIAS_SURROUND)
         out += [f">{end}' Sequence-Specific Bias", "\tObserved Marginal Distribution", "\t" + "\t".join(map(str, offsets))]
-        out += [f"{c}:\t{_row(obs[:, :, j].mean(axis=1))}" for j, c in enumerate(NUCS)]
+        # Contexts weigh by how often they were seen; tables without counts count them alike.
+        marginal = aux.marginal[end] if end in aux.marginal else obs.mean(axis=1)
+        out += [f"{c}:\t{_row(marginal[:, j])}" for j, c in enumerate(NUCS)]
         for title, table, names in (
             ("Observed", obs, offsets),
             ("Background", exp, range(1, aux.order + 2)),
@@ -110,6 +113,8 @@ def read_params(spark: SparkSession, path: str, order: int = 3) -> AuxModel:
             exp_at = lines.index("\tBackground Conditional Probabilities") + 2
             obs = [numbers(x, 1) for x in lines[obs_at : obs_at + BIAS_WINDOW]]
             exp = [numbers(x, 1) for x in lines[exp_at : exp_at + order + 1]]
+            at = lines.index("\tObserved Marginal Distribution") + 2
+            aux.marginal[end] = np.array([numbers(x, 1) for x in lines[at : at + len(NUCS)]]).T
             shape = (-1, 4**order, 4)
             with np.errstate(divide="ignore"):
                 aux.bias[end] = (

@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from apportion.operators.ordinal import running
+from apportion.operators.skew import lookup_join
+from apportion.operators.windows import CHUNK
+from apportion.session import cut
 from apportion.sources.lines import numbered_lines
 
 
@@ -30,6 +34,53 @@ def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     return rows
 
 
+def read_fasta_chunks(spark: SparkSession, path: str, chunk: int = CHUNK) -> tuple[DataFrame, DataFrame]:
+    """(records: name, length; chunks: name, chunk_no, length, bases) straight from the lines.
+
+    Lines are numbered where they lie; running sums along them tell the record and the offset of
+    each, and the bases of a chunk meet by record and chunk number. No row holds a whole record,
+    however long. Names, blank lines and errors are as in read_fasta; the first line that is
+    not blank must be a name."""
+    lines = numbered_lines(spark, path).filter(F.col("value").rlike("[^\\s]"))
+    head = F.col("value").rlike(r"^\s*>")
+    rows = lines.select(
+        "line_no",
+        head.alias("head"),
+        F.substring_index(F.regexp_replace("value", "^\\s*>|\r$", ""), " ", 1).alias("name"),
+        F.when(head, "").otherwise(F.regexp_replace("value", r"[\s>]", "")).alias("bases"),
+    ).withColumn("n", F.length("bases").cast("bigint"))
+    rows = cut(running(rows, "line_no", {"ends": ("sum", F.col("n")), "record": ("max", F.when(F.col("head"), F.col("line_no")))}))
+    heads = cut(rows.filter("head").select("record", "name", F.col("ends").alias("base")))
+    n_heads = heads.count()
+    twice = heads.groupBy("name").count().filter("count > 1").limit(1).collect()
+    if twice:
+        raise ValueError(f"target {twice[0]['name']} occurs more than once")
+    if not n_heads:
+        raise ValueError(f"no targets in {path}")
+    if not rows.filter("record is null").isEmpty():
+        raise ValueError(f"{path} does not begin with the name of a target")
+    ends = rows.groupBy("record").agg(F.max("ends").alias("_ends"))
+    heads = cut(heads.join(ends, "record").withColumn("length", F.col("_ends") - F.col("base")).drop("_ends"))
+    body = lookup_join(rows.filter("n > 0").select("line_no", "record", "bases", "n", "ends"), heads, ["record"], n_heads, ["line_no"])
+    at = (F.col("ends") - F.col("n") - F.col("base")).alias("at")
+    first, last = F.floor(F.col("at") / chunk), F.floor((F.col("at") + F.col("n") - 1) / chunk)
+    parts = body.select("name", "length", "bases", "n", at)
+    parts = parts.withColumn("chunk_no", F.explode(F.sequence(first, last)))
+    skip = F.greatest(F.col("chunk_no") * chunk - F.col("at"), F.lit(0)).cast("int")
+    take = ((F.col("chunk_no") + 1) * chunk - F.col("at") - skip).cast("int")
+    parts = parts.select("name", "length", "chunk_no", F.struct("at", F.substring("bases", skip + 1, take).alias("bases")).alias("part"))
+    parts = parts.groupBy("name", "chunk_no", "length").agg(F.array_sort(F.collect_list("part")).alias("parts"))
+    chunks = parts.select("name", "chunk_no", "length", F.array_join(F.transform("parts", lambda p: p["bases"]), "").alias("bases"))
+    return heads.select("name", "length"), cut(chunks)
+
+
+def whole_sequences(targets: DataFrame, sequences: DataFrame) -> DataFrame:
+    """targets with seq put together from their chunks: for outputs that hold whole sequences."""
+    parts = sequences.groupBy("target_id").agg(F.array_sort(F.collect_list(F.struct("chunk_no", "bases"))).alias("_parts"))
+    seq = F.array_join(F.transform("_parts", lambda p: p["bases"]), "")
+    return targets.join(parts, "target_id", "left").withColumn("seq", F.coalesce(seq, F.lit(""))).drop("_parts")
+
+
 def read_target_sets(spark: SparkSession, path: str, targets: DataFrame) -> DataFrame:
     """(set_id, target_id, n_members) from one comma-separated set of names per line."""
     lines = numbered_lines(spark, path).filter(F.trim("value") != "")
@@ -55,7 +106,8 @@ def compare_headers(left: DataFrame, right: DataFrame) -> DataFrame:
 def validate_targets(header: DataFrame, fasta: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(targets, dropped): targets keep the header's ids; sequences without a header row
     are dropped; a header row without a sequence or with another length is an error."""
-    joined = header.join(fasta.select("name", "seq", F.col("length").alias("_len")), "name", "left")
+    held = [c for c in ("seq",) if c in fasta.columns]
+    joined = header.join(fasta.select("name", *held, F.col("length").alias("_len")), "name", "left")
     bad = joined.filter(F.col("_len").isNull() | (F.col("_len") != F.col("length"))).limit(1).collect()
     if bad:
         row = bad[0]

@@ -2,6 +2,7 @@ import math
 import random
 from collections import defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -17,7 +18,7 @@ from apportion.operators.ordinal import adjacent_runs, arrival_ordinal, forgetti
 from apportion.operators.pairing import pair_mates
 from apportion.operators.projection import project_counts
 from apportion.operators.sample import cumulative_shares, sample_one
-from apportion.operators.sites import _binomial_cdf
+from apportion.operators.sites import binomial_cdf, log_gamma
 from apportion.operators.skew import group_pairs, lookup_join, rank_within
 
 HITS = "frag_id long, target_id long, w double"
@@ -280,4 +281,10 @@ def test_binomial_tail():
     for n in (5, 17, 60):
         for k in range(0, n, 3):
             for p in (0.001, 0.2, 0.7):
-                assert _binomial_cdf(k, n, p) == pytest.approx(exact(k, n, p), abs=1e-12)
+                assert float(binomial_cdf(k, n, p)) == pytest.approx(exact(k, n, p), abs=1e-12)
+    edge = binomial_cdf(np.array([5, 6, 0, -1, 2, 2]), np.array([5, 5, 9, 9, 9, 9]), np.array([0.3, 0.3, 0.1, 0.1, 0.0, 1.0]))
+    assert edge.tolist() == [1.0, 1.0, pytest.approx(0.9**9), 0.0, 1.0, 0.0]
+    z = np.concatenate([np.linspace(0.01, 5, 300), np.array([1e2, 1e4, 1e8])])
+    assert log_gamma(z) == pytest.approx([math.lgamma(v) for v in z], rel=1e-12, abs=1e-12)
+    deep = binomial_cdf(np.array([500_000, 499_000]), 1_000_000, 0.5)
+    assert deep[0] == pytest.approx(0.5004, abs=1e-4) and 0 < deep[1] < 0.03

@@ -7,7 +7,10 @@ from simulation import revcomp, simulate
 from pyspark.sql import functions as F
 
 from apportion.config import Options
+from apportion.operators.bias import target_bias
+from apportion.operators.markov import encode, log_window_scores
 from apportion.operators.pairing import pair_mates
+from apportion.operators.windows import overlapping
 from apportion.plans.estimation import estimate
 from apportion.plans.export import fragment_lines, fragment_records, target_lines, target_records
 from apportion.plans.likelihood import aligned_reads
@@ -18,7 +21,7 @@ from apportion.sources.bam import BASES, CIGAR_OPS, is_bam, read_bam, record_bor
 from apportion.sources.lines import numbered_lines
 from apportion.sources.params import AuxModel, read_params, write_params
 from apportion.sources.priors import read_priors
-from apportion.sources.targets import read_fasta, read_target_sets, validate_targets
+from apportion.sources.targets import read_fasta, read_fasta_chunks, read_target_sets, validate_targets, whole_sequences
 
 
 def write(path, text):
@@ -46,6 +49,51 @@ def test_fasta(spark, tmp_path):
         read_fasta(spark, write(tmp_path / "c.fa", "\n"))
 
 
+def test_fasta_in_chunks(spark, tmp_path):
+    """Lines of any width, records over many splits, chunks far shorter and longer than lines."""
+    rnd = np.random.default_rng(3)
+    seqs = {f"t{i}": "".join(rnd.choice(list("ACGTN"), int(n))) for i, n in enumerate([1, 59, 60, 61, 5000, 0, 777])}
+    text = "\n".join(f">{n} what it is\r\n" + "\n\n".join(s[i : i + w] for i in range(0, len(s), w)) for (n, s), w in zip(seqs.items(), (60, 60, 60, 60, 37, 5, 9000)))
+    path = write(tmp_path / "a.fa", text + "\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "900b")
+    try:
+        for chunk in (16, 1000):
+            records, chunks = read_fasta_chunks(spark, path, chunk)
+            assert {r["name"]: r.length for r in records.collect()} == {n: len(s) for n, s in seqs.items()}
+            got = {(r["name"], r.chunk_no): (r.length, r.bases) for r in chunks.collect()}
+            assert got == {(n, k): (len(s), s[k * chunk : (k + 1) * chunk]) for n, s in seqs.items() for k in range(-(-len(s) // chunk))}
+            for overlap in (1, 15, 40, 2500):
+                wide = overlapping(chunks.withColumnRenamed("name", "target_id"), overlap, chunk)
+                assert {(r.target_id, r.chunk_no): r.bases for r in wide.collect()} == {(n, k): seqs[n][k * chunk : (k + 1) * chunk + overlap] for n, k in got}
+        ids = records.withColumnRenamed("name", "target_id")
+        whole = whole_sequences(ids, chunks.withColumnRenamed("name", "target_id"))
+        assert {r.target_id: r.seq for r in whole.collect()} == seqs
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    for bad, what in ((">a\nAC\n>a\nAC\n", "more than once"), ("\n", "no targets"), ("AC\n>a\nAC\n", "does not begin")):
+        with pytest.raises(ValueError, match=what):
+            read_fasta_chunks(spark, write(tmp_path / "b.fa", bad))
+
+
+def test_target_bias_over_chunks(spark):
+    """Sums over chunks equal those over whole sequences, at every length around their borders."""
+    rnd, order = np.random.default_rng(5), 3
+    prob = lambda *shape: np.log(rnd.random(shape) + 0.1)
+    tables = {e: (prob(21, 64, 4), prob(4, 64, 4)) for e in ("5", "3")}
+    lengths = [0, 1, 5, 13, 4095, 4096, 4097, 4096 + 12, 4096 + 13, 4096 + 14, 9000]
+    rows = [(i, n, "".join(rnd.choice(list("ACGTNacgt"), n))) for i, n in enumerate(lengths)]
+
+    def mean(seq):
+        sums = []
+        for end in ("5", "3"):
+            codes = encode(seq) if end == "5" else (3 - encode(seq))[::-1]
+            sums.append(np.exp(log_window_scores(codes, tables[end][0], order, 10) - log_window_scores(codes, tables[end][1], order, 10)).sum())
+        return sums[0] * sums[1] / len(seq) ** 2
+
+    got = {r.target_id: r.avg_bias for r in target_bias(spark.createDataFrame(rows, "target_id long, length long, seq string"), tables, order).collect()}
+    assert got == {i: pytest.approx(mean(s)) for i, n, s in rows if n}
+
+
 def test_validation(spark, tmp_path):
     fasta = read_fasta(spark, write(tmp_path / "a.fa", ">a\nACGT\n>b\nAC\n>c\nA\n"))
     header = lambda rows: spark.createDataFrame(rows, "target_id long, name string, length long")
@@ -235,5 +283,5 @@ def test_site_differences_find_a_changed_base(spark, tmp_path):
     text[i] = head + "\n" + changed + "\n"
     changed_fasta = write(tmp_path / "changed.fa", ">".join(text))
     out = estimate(spark, changed_fasta, sam, Options(batch_mode=True, bias=False))
-    sites = site_table(spark, changed_fasta, out).filter("p_value < 0.001").collect()
+    sites = site_table(spark, out).filter("p_value < 0.001").collect()
     assert [(r["name"], r.position) for r in sites] == [("t_d", at)]

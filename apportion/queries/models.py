@@ -131,14 +131,11 @@ def markov_marginals(spark, sf_dir):
 
 def document_fasta(spark, sf_dir, folder, width=70):
     """Write the documents' letters as records of lines that follow each other in file order."""
-    line = F.explode(F.sequence(F.lit(0), F.ceil(F.length("seq") / width).cast("int"))).alias("line")
-    rows = texts(spark, sf_dir).select("target_id", clean(F.col("seq")).alias("seq"), line)
-    value = F.when(F.col("line") == 0, F.concat(F.lit(">"), F.col("target_id").cast("string"), F.lit(" a document")))
-    value = value.otherwise(F.substring("seq", (F.col("line") - 1) * width + 1, F.lit(width)))
+    name = F.concat(F.lit(">"), F.col("target_id").cast("string"), F.lit(" a document"))
+    lines = F.concat(F.array(name), F.regexp_extract_all(clean(F.col("seq")), F.lit(f".{{1,{width}}}"), F.lit(0)))
+    rows = texts(spark, sf_dir).select("target_id", F.posexplode(lines).alias("line", "value"))
     # Ranges of (document, line): a long document goes over into the next file.
-    rows.select("target_id", "line", value.alias("value")).repartitionByRange("target_id", "line").sortWithinPartitions(
-        "target_id", "line"
-    ).select("value").write.text(folder)
+    rows.repartitionByRange("target_id", "line").sortWithinPartitions("target_id", "line").select("value").write.text(folder)
 
 
 @query(f"""WITH {SQL_DIG}, l AS (SELECT CAST(doc_id AS VARCHAR) AS name, translate(s, '0123', 'ACGT') AS seq, CAST(n AS BIGINT) AS length FROM dg WHERE n > 0)

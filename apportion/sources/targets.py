@@ -82,17 +82,22 @@ def whole_sequences(targets: DataFrame, sequences: DataFrame) -> DataFrame:
 
 
 def read_target_sets(spark: SparkSession, path: str, targets: DataFrame) -> DataFrame:
-    """(set_id, target_id, n_members) from one comma-separated set of names per line."""
+    """(set_id, target_id, n_members) from one comma-separated set of names per line.
+
+    A line is split once, before its names become rows, and only the names go on; otherwise every
+    name would carry and split the whole line again."""
     lines = numbered_lines(spark, path).filter(F.trim("value") != "")
-    names = F.transform(F.split("value", ","), lambda n: F.trim(n))
-    rows = lines.select(F.col("line_no").alias("set_id"), F.size(names).alias("n_members"), F.explode(names).alias("name"))
-    small = rows.filter("n_members < 2").limit(1).collect()
+    names = F.split("value", ",")
+    sets = cut(lines.repartition("line_no").select(F.col("line_no").alias("set_id"), F.size(names).alias("n_members"), names.alias("names")))
+    small = sets.filter("n_members < 2").limit(1).collect()
     if small:
         raise ValueError(f"target set on line {small[0]['set_id'] + 1} has fewer than 2 members")
-    unknown = rows.join(targets.select("name"), "name", "left_anti").limit(1).collect()
+    rows = sets.select("set_id", "n_members", F.explode("names").alias("name")).withColumn("name", F.trim("name"))
+    rows = cut(rows.join(targets.select("name", "target_id"), "name", "left"))
+    unknown = rows.filter("target_id is null").limit(1).collect()
     if unknown:
         raise ValueError(f"target set names unknown target {unknown[0]['name']}")
-    return rows.join(targets.select("name", "target_id"), "name").select("set_id", "target_id", "n_members")
+    return rows.select("set_id", "target_id", "n_members")
 
 
 def compare_headers(left: DataFrame, right: DataFrame) -> DataFrame:

@@ -126,6 +126,16 @@ def test_headers_priors_and_sets(spark, tmp_path):
         read_target_sets(spark, write(tmp_path / "s2", "x,q\n"), t)
 
 
+def test_names_of_a_set_leave_its_line(spark, tmp_path):
+    """No name carries its line on: with n names to a line that would be n lines to split."""
+    t = spark.range(300).select(F.col("id").alias("target_id"), F.concat(F.lit("t"), "id").alias("name"))
+    line = ",".join(f" t{i}" for i in range(300))
+    sets = read_target_sets(spark, write(tmp_path / "s", f"t1,t2\n\n{line}\nt5, t5\n"), t)
+    plan = sets._jdf.queryExecution().optimizedPlan().toString()
+    assert "split(" not in plan and "value#" not in plan
+    assert sorted(map(tuple, sets.collect())) == sorted([(0, 1, 2), (0, 2, 2), *((2, i, 300) for i in range(300)), (3, 5, 2), (3, 5, 2)])
+
+
 def test_alignment_decoding(spark, tmp_path):
     head = "@SQ\tSN:x\tLN:100\n"
     row = lambda name, flag, pos, cigar, mate, seq="ACGTA", t="x", nxt="*": f"{name}\t{flag}\t{t}\t{pos}\t9\t{cigar}\t{nxt}\t{mate}\t0\t{seq}\tII\n"

@@ -30,6 +30,7 @@ from apportion.queries.base import (
     query,
     table,
 )
+from apportion.session import cut
 
 LENGTH_TOP = 50  # l_quantity lies in 1..50
 
@@ -87,8 +88,8 @@ def uniq_tot_counts(spark, sf_dir):
 c AS (SELECT label, count(DISTINCT f) AS bundle_counts FROM h JOIN cc ON t = node GROUP BY 1)
 SELECT label AS component, bundle_counts, count(*) AS bundle_targets FROM cc JOIN c USING (label) GROUP BY 1, 2""")
 def bundle_totals(spark, sf_dir):
-    layout = build_layout(listing_hits(spark, sf_dir))
-    counts = target_counts(layout)
+    layout = build_layout(listing_hits(spark, sf_dir), need_counts=False)
+    counts = cut(target_counts(layout))
     return bundle_counts(counts, bundles(layout, counts))
 
 

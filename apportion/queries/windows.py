@@ -54,7 +54,7 @@ def contiguity_runs(spark, sf_dir):
 @query(f"""WITH RECURSIVE {SQL_LISTING_HITS}, {SQL_COMPONENTS}
 SELECT node AS target_id, dense_rank() OVER (ORDER BY label) AS bundle_id FROM cc""")
 def bundle_ranks(spark, sf_dir):
-    layout = build_layout(listing_hits(spark, sf_dir))
+    layout = build_layout(listing_hits(spark, sf_dir), need_counts=False)
     targets = layout.hits.select("target_id").distinct()
     return bundle_numbers(bundles(layout, targets)).select("target_id", "bundle_id")
 

@@ -136,6 +136,15 @@ def test_names_of_a_set_leave_its_line(spark, tmp_path):
     assert sorted(map(tuple, sets.collect())) == sorted([(0, 1, 2), (0, 2, 2), *((2, i, 300) for i in range(300)), (3, 5, 2), (3, 5, 2)])
 
 
+def test_a_line_is_parsed_once(spark, tmp_path):
+    """The tests on flags and gaps do not split the line or parse the CIGAR again."""
+    sam = write(tmp_path / "a.sam", "@SQ\tSN:x\tLN:100\nf\t16\tx\t3\t255\t2M1D3M\t*\t0\t0\tACGTA\t*\n\nshort\t0\n")
+    reads = read_alignments(spark, sam, cut(read_header(spark, sam)), Options())
+    plan = reads._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("aggregate(") == 1 and plan.count("split(") == 1
+    assert [(r["name"], r.left, r.right, r.seq) for r in reads.collect()] == [("f", 2, 8, "TACGT")]
+
+
 def test_alignment_decoding(spark, tmp_path):
     head = "@SQ\tSN:x\tLN:100\n"
     row = lambda name, flag, pos, cigar, mate, seq="ACGTA", t="x", nxt="*": f"{name}\t{flag}\t{t}\t{pos}\t9\t{cigar}\t{nxt}\t{mate}\t0\t{seq}\tII\n"

@@ -288,3 +288,23 @@ def test_binomial_tail():
     assert log_gamma(z) == pytest.approx([math.lgamma(v) for v in z], rel=1e-12, abs=1e-12)
     deep = binomial_cdf(np.array([500_000, 499_000]), 1_000_000, 0.5)
     assert deep[0] == pytest.approx(0.5004, abs=1e-4) and 0 < deep[1] < 0.03
+
+
+def test_repeated_lookups_move_no_hits_to_their_targets(spark):
+    """Beyond broadcast size, rounds read the hits by target and give the same masses."""
+    hits = spark.createDataFrame([(f, t, 1.0 + (f * t) % 3) for f in range(40) for t in {f % 5, (f * 3) % 7, 2}], "frag_id long, target_id long, w double")
+    targets = spark.createDataFrame([(t, 10.0 + t, 0.005) for t in range(7)], "target_id long, eff_len double, alpha double")
+    masses = lambda s: {r.target_id: r.mass for r in s.collect()}
+    want = masses(batch_em(build_layout(hits), targets, 3))
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("apportion.broadcast.bytes", "1")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        layout = build_layout(hits)
+        state = batch_em(layout, targets, 3)
+        assert masses(state) == pytest.approx(want)
+        plan = posteriors(layout, state)._jdf.queryExecution().optimizedPlan().toString()
+        assert "by_target" in plan and "apportion_hits" not in plan
+    finally:
+        spark.conf.unset("apportion.broadcast.bytes")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)

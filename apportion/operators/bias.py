@@ -12,15 +12,18 @@ from apportion.functions.sequence import digits, reverse_complement
 from apportion.operators.markov import (
     background_counts,
     batch_window_scores,
+    cell_table,
     dense_log_table,
-    encode,
-    log_window_scores,
+    encode_all,
     marginals,
     transition_probabilities,
     window_counts,
+    window_weight_sums,
 )
 from apportion.operators.windows import CHUNK, sequence_chunks, sequence_slice
 
+AT_ONCE = 32  # chunks scored together, so that their arrays stay in a core's cache
+
 
 def end_windows(placements: DataFrame, targets: DataFrame, order: int, carry: list[str]) -> DataFrame:
     """(carry, end, dig, start, wl): bases around each fragment end, in strand direction.
@@ -131,23 +134,26 @@ def target_bias(targets: DataFrame, tables: dict, order: int) -> DataFrame:
     length becomes two added sums, and no weight of a single position leaves its task.
     """
     reach = BIAS_SURROUND + order
-
-    def weights(codes: np.ndarray, end: str, start: int, n: int, lo: int, hi: int) -> float:
-        if end == "3":
-            codes, start, lo, hi = (3 - codes)[::-1], n - start - codes.size, n - hi, n - lo
-        obs, exp = (log_window_scores(codes, t, order, BIAS_SURROUND, start, n, lo, hi) for t in tables[end])
-        return float(np.exp(obs - exp).sum())
+    cells = {}
+    for end, (obs, exp) in tables.items():
+        both = [[cell_table(t, order, BIAS_WINDOW, masked) for t in (obs, exp)] for masked in (True, False)]
+        cells[end] = tuple(o - e for o, e in both)
 
     def sums(batches):
         for pdf in batches:
-            out = []
-            for target, k, n, bases in zip(pdf["target_id"], pdf["chunk_no"], pdf["length"], pdf["bases"], strict=True):
-                codes, start = encode(bases), k * CHUNK
-                # A chunk's own positions begin where both sides of a window are at hand.
-                lo, hi = (start + reach if k else 0), min(n, start + CHUNK + reach)
-                if lo < hi:
-                    out.append((target, n, *(weights(codes, end, start, n, lo, hi) for end in ("5", "3"))))
-            yield pd.DataFrame(out, columns=["target_id", "length", "five", "three"])
+            start = pdf["chunk_no"].to_numpy() * CHUNK
+            # A chunk's own positions begin where both sides of a window are at hand.
+            lo, hi = np.where(start > 0, start + reach, 0), np.minimum(pdf["length"].to_numpy(), start + CHUNK + reach)
+            pdf, start, lo, hi = pdf[lo < hi], start[lo < hi], lo[lo < hi], hi[lo < hi]
+            for some in range(0, len(pdf), AT_ONCE):
+                part, at = pdf.iloc[some : some + AT_ONCE], slice(some, some + AT_ONCE)
+                texts = part["bases"].tolist()
+                codes, sizes = encode_all(texts), np.array([len(t) for t in texts], dtype=np.int64)
+                five = window_weight_sums(codes, sizes, start[at], lo[at], hi[at], cells["5"], order, BIAS_SURROUND)
+                n = part["length"].to_numpy()
+                back = [x[::-1] for x in (sizes, n - start[at] - sizes, n - hi[at], n - lo[at])]
+                three = window_weight_sums(3 - codes[::-1], *back, cells["3"], order, BIAS_SURROUND)[::-1]
+                yield pd.DataFrame({"target_id": part["target_id"], "length": n, "five": five, "three": three})
 
     kind = targets.schema["target_id"].dataType.simpleString()
     chunks = sequence_chunks(targets, 2 * reach)

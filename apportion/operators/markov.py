@@ -184,6 +184,67 @@ def log_window_scores(
     return out
 
 
+def encode_all(texts: list[str]) -> np.ndarray:
+    """Codes of all texts one after the other, a byte each."""
+    points = np.frombuffer("".join(texts).encode("utf-32-le"), dtype=np.uint32)
+    codes = np.zeros(128, dtype=np.uint8)
+    codes[list(_CODE_POINTS)] = list(_CODE_POINTS.values())
+    return codes[np.minimum(points, 127)]
+
+
+def cell_table(table: np.ndarray, order: int, width: int, masked: bool) -> np.ndarray:
+    """[window position, k-mer value] of a log table, with a last value that adds nothing. masked
+    leaves the first positions only the context inside the window."""
+    kmers = np.arange(4 ** (order + 1))
+    out = np.zeros((width, kmers.size + 1))
+    for i in range(width):
+        seen = 4 ** min(i, order) if masked else 4**order
+        out[i, :-1] = table[min(i, table.shape[0] - 1), (kmers >> 2) % seen, kmers & 3]
+    return out
+
+
+def window_weight_sums(
+    codes: np.ndarray, sizes: np.ndarray, start: np.ndarray, lo: np.ndarray, hi: np.ndarray,
+    cells: tuple[np.ndarray, np.ndarray], order: int, surround: int,
+) -> np.ndarray:
+    """Sum of exp(log weight) of the windows centred on the positions lo to hi of each piece of a
+    sequence, pieces one after the other in codes; lo < hi. start is a piece's offset.
+
+    cells are the masked and the whole cell_table of the log weight, which bases that are
+    context only do not change. A window position is one lookup for all pieces at once.
+    """
+    if not sizes.size:
+        return np.zeros(0)
+    pad, none = surround + order, 4 ** (order + 1)
+    begin = pad + np.concatenate(([0], np.cumsum(sizes + pad)[:-1]))
+    base = np.zeros(int(begin[-1] + sizes[-1]) + pad, dtype=np.int64)
+    inside = np.zeros(base.size, dtype=bool)
+    at = np.arange(codes.size) + np.repeat(begin - np.concatenate(([0], np.cumsum(sizes)[:-1])), sizes)
+    base[at], inside[at] = codes, True
+    kmer = base.copy()
+    for k in range(1, order + 1):
+        kmer[k:] += base[:-k] << (2 * k)
+    kmer[~inside] = none
+    out = np.zeros(base.size)
+    middle = out[surround : base.size - surround]
+    for i, row in enumerate(cells[0]):
+        middle += row[kmer[i : i + middle.size]]
+    # Windows that begin before or in the first order bases, but not at 0, leave those out.
+    first = np.flatnonzero(lo < pad)
+    pos = np.arange(pad)
+    pos = pos[pos != surround]
+    piece, pos = np.repeat(first, pos.size), np.tile(pos, first.size)
+    own = (pos >= lo[piece]) & (pos < hi[piece])
+    piece, pos = piece[own], pos[own]
+    edge, from_piece = np.zeros(pos.size), begin[piece] - start[piece]
+    for i, row in enumerate(cells[1]):
+        j = pos - surround + i
+        edge += row[np.where(j >= order, kmer[np.maximum(j, 0) + from_piece], none)]
+    out[pos + from_piece] = edge
+    borders = np.stack([lo + begin - start, hi + begin - start], axis=1).ravel()
+    return np.add.reduceat(np.exp(out), borders)[::2]
+
+
 def batch_window_scores(
     texts: list[str], start: np.ndarray, left: np.ndarray, table: np.ndarray, order: int, width: int = BIAS_WINDOW
 ) -> np.ndarray:

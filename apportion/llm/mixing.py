@@ -48,6 +48,12 @@ def features(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.select("id", "text_key", "n_tokens", F.concat(F.array(F.lit(BIAS), size, fresh), "kinds").alias("marks"))
 
 
+def each_mark(rows: DataFrame, *keep: str) -> DataFrame:
+    """A row for each of the marks. They are never empty, but a plain explode would put a test of
+    that below them, which splits every text again several times over."""
+    return rows.select(*keep, F.explode_outer("marks").alias("mark"))
+
+
 def domain(quality: Column, toxic: Column) -> Column:
     return F.when(toxic > 0, "toxic").when(quality > 0, "clean").otherwise("low_quality")
 
@@ -69,7 +75,7 @@ def classifier(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str) -
         return spark.range(1).select(F.lit(BIAS).alias("mark"), F.lit(0.0).alias("w0")), ["all"]
     told = features(sample, "_id", "text")
     told = told.join(sample.select(F.col("_id").alias("id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"), "domain"), ["id", "text_key"])
-    marks = told.select("domain", F.explode("marks").alias("mark"))
+    marks = each_mark(told, "domain")
     counts = [F.sum((F.col("domain") == d).cast("double")).alias(f"c{i}") for i, d in enumerate(domains)]
     seen = marks.groupBy("mark").agg(*counts)
     every = sum((F.col(f"c{i}") for i in range(1, len(domains))), F.col("c0"))
@@ -94,7 +100,7 @@ def posteriors(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
     domains; times is the number of rows with this id and text."""
     weights, domains = classifier(docs, labels, id_col, text_col)
     rows = features(docs, id_col, text_col)
-    marks = rows.select("id", "text_key", "n_tokens", F.explode("marks").alias("mark"))
+    marks = each_mark(rows, "id", "text_key", "n_tokens")
     weighed = marks.join(hinted(weights, weights.count(), 96), "mark")
     k = range(len(domains))
     sums = weighed.groupBy("id", "text_key", "n_tokens").agg(

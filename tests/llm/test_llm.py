@@ -296,6 +296,15 @@ def test_mixing_meets_its_targets(spark, awkward, nothing):
     assert mixing.mix(awkward, none).count() == awkward.count()
 
 
+def test_mixing_splits_a_text_once(spark):
+    """No test of the marks is put below them, where it would split every text again."""
+    marks = mixing.each_mark(mixing.features(frame(spark, [(1, "a b a", "en"), (2, None, "en")]), "doc_id", "text"), "id")
+    assert marks._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
+    plain = [r.mark for r in marks.filter("id = 1 and mark not like '\x01%'").collect()]
+    assert sorted(plain) == ["a", "b"]
+    assert marks.filter("id = 2").count() == 4  # bias, size, share of distinct words, the empty word
+
+
 def test_compression_tells_labels_apart(spark, awkward, nothing):
     rnd = random.Random(4)
     good, bad = vocabulary(21, "abcdefgh"), vocabulary(22, "stuvwxyz")

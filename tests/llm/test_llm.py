@@ -16,6 +16,7 @@ from samples import prose, vocabulary
 
 from apportion.llm import compression, decontaminate, html_text, jaccard, langid, mixing, perplexity, pii, quotes, suffix_tree
 from apportion.llm.words import rolling, word_hashes
+from apportion.session import cut
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, `key` string, class int, row double, n string, low int"
 
@@ -128,6 +129,28 @@ def test_near_duplicate_stage(spark, awkward, nothing):
     assert jaccard.drop_near_duplicates(nothing).count() == 0
 
 
+def test_jaccard_looks_again_only_at_open_keys(spark, monkeypatch):
+    """Keys whose classes are joined already are not placed in components again."""
+    rnd = random.Random(7)
+    words = lambda n: [f"w{rnd.randrange(10**6)}" for _ in range(n)]
+    base = words(200)
+    joined = [(i, " ".join([*base[: 10 * i], f"x{i}", *base[10 * i + 1 :]]), "en") for i in range(1, 9)]
+    written = []
+
+    def spy(df):
+        out = cut(df)
+        if {"key", "class", "component"} <= set(df.columns) and "short" not in df.columns:
+            written.append(out.count())
+        return out
+
+    monkeypatch.setattr(jaccard, "cut", spy)
+
+    got = jaccard.jaccard_groups(frame(spark, joined), n=1, num=4, den=5).collect()
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == Counter(brute_components(joined, 1, 4, 5))
+    assert {r.component_id for r in got} == {1}
+    assert written == []
+
+
 def test_pigeonhole_holds():
     bands = jaccard.Bands(85, 100)
     for n in (1, 2, 5, 6, 7, 13, 40, 100, 999, 5000):

@@ -6,6 +6,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -636,3 +637,60 @@ def test_unlearned_languages_do_not_pass(spark):
         got = {r.doc_id: r.x for r in docs.select("doc_id", langid.language(F.col("text"), model, spark).alias("x")).collect()}
         assert all(got[i].score == 0 for i, *_ in strange) and all(got[i].score > 0.9 for i, *_ in known)
         assert {r.doc_id for r in langid.keep_known_language(docs).collect()} == {i for i, *_ in known} | {99}
+
+
+def test_cut_frees_its_shuffle(spark):
+    from apportion.session import discard
+
+    def files():
+        held = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return sum(held.apply(i).getName().startswith("shuffle_") for i in range(held.size()))
+
+    before = files()
+    counted = cut(spark.range(10000).groupBy(F.col("id") % 3000).count())
+    assert counted.count() == 3000
+    for _ in range(50):
+        if files() <= before:
+            break
+        time.sleep(0.1)
+    assert files() <= before
+    discard(counted)
+    with pytest.raises(Exception):
+        counted.count()
+
+
+def test_near_copies_join_without_their_pairs(spark, monkeypatch):
+    rng = random.Random(7)
+    base = [f"w{i}" for i in range(200)]
+    texts = []
+    for i in range(400):
+        words = base[:]
+        for at in rng.sample(range(200), 2):
+            words[at] = f"x{i}_{at}"
+        texts.append(" ".join(words))
+    sets = [{tuple(w[k : k + 4]) for k in range(len(w) - 3)} for w in map(str.split, texts)]
+    lead = list(range(len(sets)))
+
+    def top(i):
+        while lead[i] != i:
+            i = lead[i]
+        return i
+
+    for i in range(len(sets)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if 100 * both >= 85 * (len(sets[i]) + len(sets[j]) - both):
+                a, b = sorted((top(i), top(j)))
+                lead[b] = a
+    tested = []
+    possible = jaccard.JaccardJoin._possible
+
+    def counted(self, pairs):
+        tested.append(pairs.count())
+        return possible(self, pairs)
+
+    monkeypatch.setattr(jaccard.JaccardJoin, "_possible", counted)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(8)
+    rows = jaccard.JaccardJoin(docs, "doc_id", "text", 4, 85, 100).rows().collect()
+    assert {r["id"]: r["component_id"] for r in rows} == {i: top(i) for i in range(len(texts))}
+    assert sum(tested) < 20 * len(texts), tested

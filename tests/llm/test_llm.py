@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import os
 import random
 import re
 import time
@@ -648,12 +649,12 @@ def test_cut_frees_its_shuffle(spark):
 
     before = files()
     counted = cut(spark.range(10000).groupBy(F.col("id") % 3000).count())
-    assert counted.count() == 3000
     for _ in range(50):
         if files() <= before:
             break
         time.sleep(0.1)
     assert files() <= before
+    assert counted.count() == 3000
     discard(counted)
     with pytest.raises(Exception):
         counted.count()
@@ -694,3 +695,21 @@ def test_near_copies_join_without_their_pairs(spark, monkeypatch):
     rows = jaccard.JaccardJoin(docs, "doc_id", "text", 4, 85, 100).rows().collect()
     assert {r["id"]: r["component_id"] for r in rows} == {i: top(i) for i in range(len(texts))}
     assert sum(tested) < 20 * len(texts), tested
+
+
+def test_suffix_tree_frees_superseded_tables(spark, monkeypatch):
+    made = []
+
+    def spy(df):
+        out = cut(df)
+        made.append((out.columns, [f.removeprefix("file:").replace("///", "/") for f in out.inputFiles()]))
+        return out
+
+    monkeypatch.setattr(suffix_tree, "cut", spy)
+    rng = random.Random(3)
+    texts = [(" ".join(rng.choice("a b c d e".split()) + " then follows" for _ in range(40)),) for _ in range(60)]
+    suffix_tree.fit(spark.createDataFrame(texts, "text string"))
+    counted = [files for columns, files in made if columns == ["seq", "context", "suffix", "n"]]
+    assert len(counted) > 1 and all(counted)
+    assert not any(os.path.exists(f) for files in counted for f in files)
+    assert any(os.path.exists(f) for _, files in made for f in files)

@@ -697,6 +697,44 @@ def test_near_copies_join_without_their_pairs(spark, monkeypatch):
     assert sum(tested) < 20 * len(texts), tested
 
 
+def test_jaccard_pairs_meet_once(spark):
+    """Classes that have many keys in common are one pair, not one for each key."""
+    rng = random.Random(4)
+    join = jaccard.JaccardJoin(frame(spark, []), "doc_id", "text", 4, 85, 100)
+    common, part = rng.sample(range(-(10**9), 10**9), 40), {c: rng.sample(range(10**9, 2 * 10**9), 6) for c in (1, 2, 3)}
+    keys = {1: common + part[1], 2: common + part[2], 3: common[:1] + part[3]}
+    sketch = [5] * 16
+    rows = [(None, 100, c, sketch, sketch[:2]) for c in keys]
+    join.parts = cut(spark.createDataFrame(rows, "id long, n long, class long, sketch array<long>, short array<long>"))
+    rest = cut(spark.createDataFrame([(k, c, c) for c in keys for k in keys[c]], "key long, class long, component long"))
+    got = [tuple(r) for r in join._across(rest, 3).collect()]
+    assert Counter(got) == Counter([(1, 2), (1, 3), (2, 3)])
+
+
+def test_jaccard_frees_its_tables(spark, monkeypatch):
+    """Keys and sketches are deleted once groups are known, and rows of a key carry no sketch in turns."""
+    made = []
+
+    def spy(df):
+        out = cut(df)
+        made.append((out.columns, [f.removeprefix("file:").replace("///", "/") for f in out.inputFiles()]))
+        return out
+
+    monkeypatch.setattr(jaccard, "cut", spy)
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(150)]
+    texts = [" ".join(f"x{i}_{k}" if rng.random() < 0.06 else w for k, w in enumerate(base)) for i in range(40)]
+    rows = [(i, t, "en") for i, t in enumerate(texts)]
+    got = jaccard.jaccard_groups(frame(spark, rows), n=4, num=85, den=100).collect()
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == Counter(brute_components(rows, 4, 85, 100))
+    gone = [files for columns, files in made if {"keys", "sketch", "text", "center"} & set(columns)]
+    assert len(gone) > 4 and all(gone)
+    left = [columns for columns, files in made if {"keys", "sketch", "text"} & set(columns) and any(os.path.exists(f) for f in files)]
+    assert left == []
+    turns = [columns for columns, _ in made if {"key", "component", "lead"} <= set(columns)]
+    assert turns and not any({"own", "short"} & set(columns) for columns in turns)
+
+
 def test_suffix_tree_frees_superseded_tables(spark, monkeypatch):
     made = []
 

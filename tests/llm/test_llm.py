@@ -723,8 +723,8 @@ def test_jaccard_frees_its_tables(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "cut", spy)
     rng = random.Random(8)
     base = [f"w{i}" for i in range(150)]
-    texts = [" ".join(f"x{i}_{k}" if rng.random() < 0.06 else w for k, w in enumerate(base)) for i in range(40)]
-    rows = [(i, t, "en") for i, t in enumerate(texts)]
+    texts = [" ".join(f"x{i}_{k}" if rng.random() < 0.012 else w for k, w in enumerate(base)) for i in range(14)]
+    rows = [(i, t, "en") for i, t in enumerate(texts)] + [(None, texts[3], "en"), (7, texts[3], "en")]
     got = jaccard.jaccard_groups(frame(spark, rows), n=4, num=85, den=100).collect()
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == Counter(brute_components(rows, 4, 85, 100))
     gone = [files for columns, files in made if {"keys", "sketch", "text", "center"} & set(columns)]

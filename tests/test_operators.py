@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from apportion.operators.covariance import covariance_pairs
-from apportion.operators.em import batch_em, posteriors
+from apportion.operators.em import batch_em, initial_state, posteriors
 from apportion.operators.estimate import beta_parameters
 from apportion.operators.graph import bundle_numbers, bundles, connected_components, solvable_targets
 from apportion.operators.haplotypes import haplotype_shares
@@ -20,6 +20,7 @@ from apportion.operators.projection import project_counts
 from apportion.operators.sample import cumulative_shares, sample_one
 from apportion.operators.sites import binomial_cdf, log_gamma
 from apportion.operators.skew import group_pairs, lookup_join, rank_within
+from apportion.session import cut
 
 HITS = "frag_id long, target_id long, w double"
 
@@ -99,6 +100,21 @@ def test_bundles_and_solvability(spark, limit):
     assert {r.target_id for r in solvable_targets(layout).collect()} == {1, 2, 3}
 
 
+@pytest.mark.parametrize("neighbors", [0, 2])
+def test_targets_beyond_the_limit_are_not_broadcast(spark, neighbors):
+    """However few bytes the files of the targets take, Spark does not send them by itself."""
+    spark.conf.set("apportion.broadcast.bytes", "1")
+    try:
+        layout = build_layout(hits(spark, {f: (f % 5, f % 7 + 5) for f in range(20)}))
+        state = cut(initial_state(targets(spark, range(12))))
+        found = posteriors(layout, state, neighbors=neighbors)
+        rows = lookup_join(layout.hits, state, ["target_id"], 12, ["frag_id"])
+        plans = [df._jdf.queryExecution().executedPlan().toString() for df in (found, rows)]
+        assert not [p for p in plans if "BroadcastHashJoin" in p] and found.count() == rows.count() == 40
+    finally:
+        spark.conf.unset("apportion.broadcast.bytes")
+
+
 @pytest.mark.parametrize("broadcast", [None, "1"])
 def test_components_of_chains_and_hubs(spark, broadcast):
     rnd = random.Random(5)

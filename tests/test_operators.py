@@ -20,7 +20,7 @@ from apportion.operators.projection import project_counts
 from apportion.operators.sample import cumulative_shares, sample_one
 from apportion.operators.sites import binomial_cdf, log_gamma
 from apportion.operators.skew import group_pairs, lookup_join, rank_within
-from apportion.session import cut
+from apportion.session import cut, passing
 
 HITS = "frag_id long, target_id long, w double"
 
@@ -324,3 +324,14 @@ def test_repeated_lookups_move_no_hits_to_their_targets(spark):
     finally:
         spark.conf.unset("apportion.broadcast.bytes")
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_passing_tables_are_deleted(spark):
+    """What is cut inside goes, what is kept or was there before stays."""
+    old = cut(spark.range(2))
+    with passing(spark) as keep:
+        gone = cut(spark.range(3))
+        new = keep(cut(gone.union(old)))
+    assert sorted(r.id for r in new.collect()) == [0, 0, 1, 1, 2] and old.count() == 2
+    with pytest.raises(Exception, match="FILE_NOT_EXIST|does not exist"):
+        gone.collect()

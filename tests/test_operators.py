@@ -20,7 +20,7 @@ from apportion.operators.projection import project_counts
 from apportion.operators.sample import cumulative_shares, sample_one
 from apportion.operators.sites import binomial_cdf, log_gamma
 from apportion.operators.skew import group_pairs, lookup_join, rank_within
-from apportion.session import cut, passing
+from apportion.session import _written, cut, discard, passing
 
 HITS = "frag_id long, target_id long, w double"
 
@@ -335,3 +335,48 @@ def test_passing_tables_are_deleted(spark):
     assert sorted(r.id for r in new.collect()) == [0, 0, 1, 1, 2] and old.count() == 2
     with pytest.raises(Exception, match="FILE_NOT_EXIST|does not exist"):
         gone.collect()
+
+
+@pytest.mark.parametrize("broadcast", [None, "1"])
+def test_rounds_and_passes_leave_one_table(spark, broadcast):
+    """States and links that the next round or pass replaces are deleted; the rounds are the same."""
+    groups = {f: [f % 3, (f * 5 + 1) % 7, 6] for f in range(30)}
+    known = cut(targets(spark, range(9)).withColumn("bundle_mass", F.lit(30.0)))
+    if broadcast:
+        spark.conf.set("apportion.broadcast.bytes", broadcast)
+    try:
+        layout = build_layout(hits(spark, groups))
+        layout.repeat_lookups()
+        before = len(_written)
+        found = bundles(layout, known)
+        assert {r.component for r in found.collect()} == {0, 7, 8} and len(_written) == before + 1
+        state = batch_em(layout, known, 4, variance=True)
+        assert len(_written) == before + (3 if broadcast else 2)  # and the targets as the hits lie
+        mass = masses(state)
+        assert sum(mass.values()) == pytest.approx(30) and mass[7] == mass[8] == 0
+        assert masses(batch_em(layout, known.drop("bundle_mass"), 4)) == pytest.approx(mass)
+    finally:
+        spark.conf.unset("apportion.broadcast.bytes")
+
+
+def test_result_table_of_many_targets_reads_its_own_copy(spark):
+    """The same table whether or not what it is made of goes before it is read."""
+    from apportion.operators.estimate import result_table
+    from apportion.plans.results import annotate_targets
+
+    spark.conf.set("apportion.broadcast.bytes", "1")
+    try:
+        layout = build_layout(hits(spark, {f: [f % 3, (f * 5 + 1) % 7] for f in range(30)}, lambda f, t: 1 + f % 4))
+        named = targets(spark, range(8)).withColumns({"name": F.concat(F.lit("t"), "target_id"), "length": F.lit(20)})
+        with passing(spark) as keep:
+            known, _ = annotate_targets(layout, named)
+            keep(known)
+            state = keep(batch_em(layout, known, 3, variance=True))
+        rows = lambda: result_table(known.drop("eff_len", "alpha", "bundle_mass").join(state.drop("bundle_mass"), "target_id"), layout.n_frags)
+        want = sorted(map(tuple, rows().collect()))
+        out = rows()
+        discard(known, state)
+        assert sorted(map(tuple, out.collect())) == want and len(want) == 8
+        assert sum(r.est_counts for r in out.collect()) == pytest.approx(30)
+    finally:
+        spark.conf.unset("apportion.broadcast.bytes")
